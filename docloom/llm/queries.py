@@ -6,17 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import mixing
+from docloom.llm import mixing, quality
 from docloom.llm.common import table
 
+#: Where the public vocabularies lie; None: the installed package that carries them.
+TOKENIZER_DIR: str | None = None
+
+
+def vocabulary(name: str) -> str:
+    if TOKENIZER_DIR is not None:
+        return f"{TOKENIZER_DIR}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights 5, 2, 1."""
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, fertility of the 32k piece vocabulary, and the verdict for all documents."""
+    rated = quality.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "fertility", "fallback", "entropy"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL: dict[str, str] = {
