@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import mixing, quality
+from docloom.llm import decontam, mixing, quality
 from docloom.llm.common import table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -26,6 +27,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge all documents against the whole benchmark in windows of 13 words."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, fertility of the 32k piece vocabulary, and the verdict for all documents."""
     rated = quality.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -36,6 +43,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_decontaminate": op3_decontaminate,
     "op8_quality_rules": op8_quality_rules,
 }
 
@@ -69,5 +77,22 @@ SELECT d.doc_id, d.size, b.source_size, b.target,
      ELSE 0 END)::BIGINT AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.k = d.k
+""",
+    "op3_decontaminate": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT id, CASE WHEN len(w) >= 13 THEN w[p:p + 12] ELSE w END AS gram FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(p) WHERE len(w) > 0),
+l AS (SELECT DISTINCT len(gram) AS n FROM g),
+s AS (SELECT r, p, n, w[p:p + n - 1] AS gram FROM d, l, unnest(range(1, len(w) - n + 2)) t(p)),
+o AS (SELECT r, p, n, id FROM s JOIN g USING (gram)),
+h AS (SELECT r, count(DISTINCT p + k) AS n_hit FROM o, unnest(range(0, n)) t(k) GROUP BY r),
+m AS (SELECT r, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM o GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
 """,
 }
