@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, mixing, quality
-from docloom.llm.common import table
+from docloom.llm import decontam, mixing, quality, tokenstore
+from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
 TOKENIZER_DIR: str | None = None
@@ -27,6 +27,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents to a store of token ids and read it back."""
+    path = scratch_path(spark, "tokens")
+    tokenstore.write_store(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    tokenstore.check_manifest(spark, path)
+    return tokenstore.read_checksums(spark, path)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge all documents against the whole benchmark in windows of 13 words."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,6 +51,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_store": op2_token_store,
     "op3_decontaminate": op3_decontaminate,
     "op8_quality_rules": op8_quality_rules,
 }
