@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, mixing, quality, simhash, tokenstore
+from docloom.llm import decontam, mixing, quality, simhash, tokenstore, urlfilter
 from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -41,6 +41,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge the urls of all pages by the four rules."""
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark), "page_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their groups within 4 bits."""
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
     "op3_decontaminate": op3_decontaminate,
+    "op4_url_filter": op4_url_filter,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
 }
@@ -110,5 +116,16 @@ m AS (SELECT r, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+""",
+    "op4_url_filter": r"""
+WITH u AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r(rule_host, rule_path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT u.*, rule_host || rule_path AS rule, verdict,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
+      FROM u LEFT JOIN r ON (u.host = rule_host OR ends_with(u.host, '.' || rule_host)) AND starts_with(u.path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE place = 1
 """,
 }
