@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, mixing, quality, simhash, tokenstore, urlfilter
+from docloom.llm import decontam, htmltext, mixing, quality, simhash, tokencount, tokenstore, urlfilter
 from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -46,6 +46,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark), "page_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents under the 32k piece vocabulary."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return htmltext.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their groups within 4 bits."""
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
@@ -65,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_token_counts": op5_token_counts,
+    "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
 }
