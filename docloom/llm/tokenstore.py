@@ -21,12 +21,14 @@ stored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,72 +37,146 @@ from docloom.llm.common import materialize
 #: The id after the last of each document.
 END_ID = 2
 #: Pieces that a Python worker remembers with their ids; the table is emptied when it is full.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 200_000
 #: Characters of text that are encoded together.
 TEXT_AT_ONCE = 4_000_000
+#: Pieces that are encoded as one text.
+TOGETHER = 200
 #: A chunk ends where the rolling hash of WINDOW ids has its BITS high bits clear, but has LEAST to MOST ids.
 WINDOW, BITS, LEAST, MOST = 16, 8, 64, 1024
 #: Digests that a task remembers so as not to send a chunk twice.
-DIGESTS_KEPT = 500_000
+DIGESTS_KEPT = 200_000
 #: Children of a node of the manifest.
 FAN_OUT = 1024
 #: Documents of a range of doc_id that is put in order by one task.
 DOCS_A_RANGE = 20_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_TWO_SPACES = re.compile(r"\s\s")
+#: White space that follows white space (a superset of what tokenizers hold to be white space).
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TWO_SPACES = _SPACE + "{2}"
+
+
+def _is_plain(piece: str) -> bool:
+    """Whether nothing but one blank at the start of a piece is white space at an end."""
+    word = piece[1:] if piece[:1] == " " else piece
+    return bool(word) and word.strip() == word
 
 
 class Encoder:
     """Ids of whole texts from a file of the tokenizers library, remembered by pieces between blanks.
 
-    Between two characters that are no white space, a blank always starts a pre-token, so such pieces
-    are encoded apart with the same ids.  Texts with other white space runs are encoded whole.
+    Between two characters that are no white space, a blank always starts a pre-token of byte-level
+    tokenizers, so such pieces have the same ids apart.  A piece that is new is cut into pre-tokens,
+    and new pre-tokens go through the tokenizer's own merges.  Texts with longer white space runs are
+    encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from public_tokenizers import PATTERN
+        from regex import compile as pattern
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, table: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in table]
-        if new:
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-                table[piece] = np.array(found.ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, without an end id, as bytes of the dtype."""
-        out: list[bytes] = []
-        start = 0
-        while start < len(texts):
-            cuts, size = [], 0
-            while start + len(cuts) < len(texts) and size < TEXT_AT_ONCE:
-                text = texts[start + len(cuts)] or ""
-                cuts.append(None if _TWO_SPACES.search(text) else text.split(" "))
-                size += len(text)
-            if len(self.later) + len(self.first) > PIECES_KEPT:
-                self.first.clear()
-                self.later.clear()
-            self._learn(self.first, {c[0] for c in cuts if c}, "")
-            pieces: set[str] = set()
-            for c in cuts:
-                if c:
-                    pieces.update(c[1:])
-            self._learn(self.later, pieces, " ")
-            get = self.later.__getitem__
-            for k, c in enumerate(cuts):
-                if c:
-                    out.append(self.first[c[0]] + b"".join(map(get, c[1:])))
-                else:
-                    ids = self.tokenizer.encode(texts[start + k], add_special_tokens=False).ids
-                    out.append(np.array(ids, self.dtype).tobytes())
-            start += len(cuts)
-        return out
+        self.pre_tokens = pattern(PATTERN)
+        # the same merges on pre-tokens that a tab separates, in the alphabet of bytes
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\t")
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [x for x in range(256) if x not in printed]
+        self.alphabet = {x: chr(256 + k) for k, x in enumerate(others)}
+        self.mark_id = self.merges.encode(self.alphabet[9]).ids[0]
+        # the bytes FF and FE are never in UTF-8: one stands for the tab between pre-tokens, one for the mark
+        self.alphabet |= {0xFF: "\t", 0xFE: self.alphabet[9]}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _merge(self, new: list[str]) -> None:
+        """Learn pre-tokens, some hundred at a time, with a mark after each."""
+        width = self.dtype.itemsize
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        texts = [b"\xff\xfe\xff".join([x.encode() for x in group]).decode("latin-1").translate(self.alphabet) for group in groups]
+        for group, found in zip(groups, self.merges.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            ends = (np.flatnonzero(ids == self.mark_id) * width).tolist()
+            if len(ends) != len(group) - 1:
+                raise ValueError("pre-tokens can't be told apart")
+            whole, last = ids.tobytes(), 0
+            for x, end in zip(group, [*ends, len(whole)]):
+                self.known[x] = whole[last:end]
+                last = end + width
+
+    def learn(self, pieces: list[str]) -> None:
+        """Learn pieces, which start with their blank if they have one."""
+        new = [p for p in pieces if p not in self.pieces]
+        # between pieces, a tab is a pre-token of its own
+        plain = [p for p in new if "\t" not in p and _is_plain(p)]
+        cut = self.pre_tokens.findall("\t".join(plain))
+        tab = np.array([self.mark_id], self.dtype).tobytes()
+        self.known["\t"] = tab
+        self._merge([x for x in dict.fromkeys(cut) if x not in self.known])
+        whole, last, width = b"".join(map(self.known.__getitem__, cut)), 0, self.dtype.itemsize
+        ends = (np.flatnonzero(np.frombuffer(whole, self.dtype) == self.mark_id) * width).tolist()
+        if plain and len(ends) != len(plain) - 1:
+            raise ValueError("pieces can't be told apart")
+        for piece, end in zip(plain, [*ends, len(whole)]):
+            self.pieces[piece] = whole[last:end]
+            last = end + width
+        for piece in new:
+            if piece not in self.pieces:
+                self.pieces[piece] = self.whole(piece)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, without an end id."""
+        size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(size) // TEXT_AT_ONCE
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(texts) else np.zeros(0, int)
+        for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)]):
+            yield from self._encode(pc.fill_null(texts.slice(start, stop - start), ""))
+
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if len(self.pieces) > PIECES_KEPT:
+            self.clear()
+        spaced = pc.match_substring_regex(texts, _TWO_SPACES)
+        cut = pc.split_pattern(pc.if_else(spaced, "", texts), " ")
+        offsets = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        first = offsets[:-1] - offsets[0]
+        later = np.ones(len(codes), bool)
+        later[first] = False
+        used = np.unique(codes[later])
+        words = coded.dictionary.to_pylist()
+        pieces = [" " + words[k] for k in used.tolist()]
+        heads = [words[k] for k in codes[first].tolist()]
+        self.learn([*pieces, *dict.fromkeys(heads)])
+        get = self.pieces.__getitem__
+        found = [*map(get, pieces)]
+        for k, (head, is_spaced) in enumerate(zip(heads, spaced.to_pylist())):
+            found.append(self.whole(texts[k].as_py()) if is_spaced else get(head))
+        place = np.zeros(len(words), np.int64)
+        place[used] = np.arange(len(used))
+        at = place[codes]
+        at[first] = len(used) + np.arange(len(first))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        store = np.frombuffer(b"".join(found), self.dtype)
+        begins = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        ends = np.cumsum(own)
+        ids = store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[at] - (ends - own), own)]
+        last = 0
+        for end in ends[(offsets[1:] - offsets[0]) - 1].tolist():
+            yield ids[last:end]
+            last = end
 
 
 class Chunker:
@@ -151,16 +227,16 @@ def digest(ids: bytes) -> bytes:
 def _encoded(path: str, end_id: int, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
-        chunker, sent, tail = Chunker(), set(), np.array([end_id], encoder.dtype).tobytes()
+        chunker, sent, tail = Chunker(), set(), np.array([end_id], encoder.dtype)
         width = encoder.dtype.itemsize
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for doc_id, ids in zip(ids_of, encoder.encode(batch.column(1).to_pylist())):
-                ids += tail
-                keys, last = [], 0
-                for end in chunker.ends(np.frombuffer(ids, encoder.dtype)):
-                    chunk = ids[last * width : end * width]
+            for doc_id, ids in zip(ids_of, encoder.encode(batch.column(1))):
+                ids = np.concatenate([ids, tail])
+                raw, keys, last = ids.tobytes(), [], 0
+                for end in chunker.ends(ids):
+                    chunk = raw[last * width : end * width]
                     key = digest(chunk)
                     keys.append(key)
                     if key not in sent:
