@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, htmltext, mixing, quality, simhash, tokencount, tokenstore, urlfilter
+from docloom.llm import decontam, htmltext, langid, mixing, quality, simhash, tokencount, tokenstore, urlfilter
 from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -70,6 +70,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the documents that are not held out, then label all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs.select("doc_id", "text", "lang")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
