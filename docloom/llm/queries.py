@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, htmltext, langid, mixing, quality, simhash, tokencount, tokenstore, urlfilter
+from docloom.llm import decontam, htmltext, langid, mixing, quality, simhash, substrings, tokencount, tokenstore, urlfilter
 from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -70,6 +70,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut 50-byte strings of all documents that documents with smaller ids hold."""
+    return substrings.cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the documents that are not held out, then label all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
 
