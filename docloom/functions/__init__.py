@@ -1 +1 @@
-"""Part of the document query engine."""
+"""Column functions: text, slugs, paths, and search patterns."""

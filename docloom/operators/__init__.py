@@ -1 +1 @@
-"""Part of the document query engine."""
+"""Query operators over catalog, node, line and link tables."""

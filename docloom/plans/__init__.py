@@ -1 +1 @@
-"""Part of the document query engine."""
+"""Whole plans: durable tables, the engine, its driver queries."""
