@@ -158,7 +158,7 @@ def _costs(n: int, groups: list[list[int]], both: np.ndarray, max_bits: int, met
         if met is not None:  # pairs that share all bits of the group are known; more distant ones are in proportion
             pairs = np.maximum(pairs, met[i] * pairs / max(pairs[0], 1e-9))
             pairs = np.minimum(pairs, n * (n - 1) / 2)
-        out.append([0.0, *[n * _ball(len(group), t) + CANDIDATE_COST * float(pairs[t]) for t in range(max_bits + 1)]])
+        out.append([0.0, *[max(n, 1) * _ball(len(group), t) + CANDIDATE_COST * float(pairs[t]) for t in range(max_bits + 1)]])
     return out
 
 
