@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,17 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession, rounds: int = 3) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which may otherwise be much later.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

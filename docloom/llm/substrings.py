@@ -20,7 +20,6 @@ rows get equal results; an empty table gives no rows; further columns are not re
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, release_shuffles
 
 #: Bytes of the strings (the contract's threshold) and of the seeds inside them.
 DEPTH, SEED = 50, 16
@@ -301,8 +300,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     tag = F.coalesce(F.crc32(F.coalesce("text", F.lit(""))), F.lit(0)).cast("long") if twice else F.lit(0).cast("long")
     runs = materialize(_removed_runs(docs, tag), "repeats")
-    gc.collect()  # the shuffled stretches are done with: their files go when the driver's JVM collects
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    release_shuffles(docs.sparkSession)  # the stretches are done with
     by_doc = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("runs")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "runs")
     held = docs.select("doc_id", "text", tag.alias("tag"))
     joined = held.join(by_doc, (held["doc_id"].cast("long") == F.col("_id")) & (held["tag"] == F.col("_tag")), "left").select("doc_id", "text", "runs")
