@@ -180,9 +180,10 @@ def _digit(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _refined(group: np.ndarray, digit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _refined(group: np.ndarray | None, digit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass: groups split by the digit; places of members, in sorted order, of groups in two or more documents, and their groups."""
-    order = np.lexsort((digit, group))
+    order = np.lexsort((digit, group)) if group is not None else np.argsort(digit, kind="stable")
+    group = group if group is not None else np.zeros(len(digit), np.int8)
     g, d, i = group[order], digit[order], ids[order]
     first = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])] if len(g) else np.zeros(0, bool)
     number = np.cumsum(first) - 1
@@ -194,10 +195,9 @@ def _refined(group: np.ndarray, digit: np.ndarray, ids: np.ndarray) -> tuple[np.
 def repeats(ids: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretch and first byte in it of every window that also lies in a document with a smaller id."""
     begin = np.cumsum(sizes) - sizes
-    at, group = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-    for k in (0, 8):  # the seed, a digit of the whole stretch
-        keep, group = _refined(group, _digit(data, begin[at] + offsets[at], 8) if k == 0 else _digit(data, begin[at] + offsets[at] + 8, 8), ids[at])
-        at = at[keep]
+    # the seed, a digit of the whole stretch; both its halves are mixed to sort once, and what that merges the later digits split
+    halves = [_digit(data, begin + offsets + k, 8) for k in (0, 8)]
+    at, group = _refined(None, (halves[0] * np.uint64(0x9E3779B97F4A7C15)) ^ (halves[1] * np.uint64(0xC2B2AE3D27D4EB4F)), ids)
     windows = sizes[at] - DEPTH + 1
     stretch = np.repeat(at, windows)
     inside = np.arange(len(stretch)) - np.repeat(np.cumsum(windows) - windows, windows)
