@@ -456,3 +456,57 @@ def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("path"))
     return admin.case_collisions(rows)
+
+
+def _conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a Markdown document: a title and a section a turn."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), "role", F.lit("\n\n- `--turn-"), F.col("turn").cast("string"), F.lit("`: the turn\n\nlicense "), F.col("turn").cast("string")).alias("part"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
+    return whole.select(F.col("conv_id").cast("string").alias("doc_key"), F.lit("markdown").alias("format"), F.encode(F.concat(F.lit("# Conversation\n\n"), "text"), "utf-8").alias("content"))
+
+
+@_register("markdown_outline", """WITH t AS (SELECT conv_id::VARCHAR AS doc_key, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)
+  SELECT doc_key, n::VARCHAR AS path, 'document-section' AS kind, role || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id, role AS title FROM t
+  UNION ALL SELECT doc_key, n || '/e1', 'document-entry', 'option-turn-' || turn, '--turn-' || turn FROM t""")
+def _markdown_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.plans.index import index
+
+    return index(_conversation_markdown(spark, sf_dir)).nodes.select("doc_key", "path", "kind", "id", "title")
+
+
+@_register("markdown_search_owners", """SELECT conv_id::VARCHAR AS doc_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR AS node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, 'license ' || turn AS text FROM conversations""")
+def _markdown_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.plans.engine import Engine
+    from docloom.plans.index import index
+
+    return Engine(spark, None, None)._hits(index(_conversation_markdown(spark, sf_dir)), _LICENCE).select("doc_key", "node", "ordinal", "text")
+
+
+@_register("markdown_excerpts", """SELECT conv_id::VARCHAR AS doc_key, n::VARCHAR AS path, '*Outline ' || n || '*' || chr(10) || chr(10) || '<a id="' || id || '"></a>' || chr(10) || '## ' || role || chr(10) || chr(10) || '- <a id="option-turn-' || turn || '"></a>`--turn-' || turn || '`: the turn' || chr(10) || chr(10) || 'license ' || turn AS text
+  FROM (SELECT *, role || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)) WHERE n = 2""")
+def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.plans import render
+    from docloom.plans.index import index
+
+    parsed = index(_conversation_markdown(spark, sf_dir))
+    return render.excerpt_markdown(parsed.nodes.where("path = '2'"), parsed.documents).select("doc_key", "path", "text")
+
+
+@_register("manual_outline", """SELECT conv_id::VARCHAR AS doc_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR AS path, role || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, upper(role) AS title FROM conversations""")
+def _manual_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.plans.index import index
+
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(".SH "), F.upper("role"), F.lit("\nSee\n.BR tar (1)\nfor \\fBmore\\fP.")).alias("part"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    raw = whole.select(F.col("conv_id").cast("string").alias("doc_key"), F.lit("roff").alias("format"), F.encode(F.concat(F.lit(".TH X 1\n"), "text"), "utf-8").alias("content"))
+    return index(raw).nodes.select("doc_key", "path", "id", "title")
+
+
+@_register("tldr_examples", """SELECT p_partkey::VARCHAR AS topic, p_name AS title, 'run ' || p_size || ' times' AS description, 'do --count ' || p_size AS text, 'file' AS placeholder FROM part""")
+def _tldr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.plans.index import tldr_rows
+
+    size = F.col("p_size").cast("string")
+    pages = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("topic"), F.concat(F.lit("# "), "p_name", F.lit("\n\n> A part.\n\n- run "), size, F.lit(" times:\n\n`do {{[-c|--count]}} "), size, F.lit(" {{file}}`\n")).alias("text"))
+    e = F.col("examples")[0]
+    return tldr_rows(pages).select("topic", "title", e["description"].alias("description"), F.rtrim(e["parts"][0]["value"]).alias("text"), e["parts"][1]["value"].alias("placeholder"))

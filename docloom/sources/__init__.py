@@ -1 +1 @@
-"""Part of the document query engine."""
+"""Readers: document trees, Markdown, quick references, manual pages."""

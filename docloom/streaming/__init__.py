@@ -1 +1 @@
-"""Part of the document query engine."""
+"""Keeping the parsed tables up to date as documents arrive."""
