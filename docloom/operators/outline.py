@@ -92,9 +92,9 @@ def select_nodes(nodes: DataFrame, selectors: DataFrame, entries_only: bool = Fa
 
 def suppress_descendants(selected: DataFrame) -> DataFrame:
     """Selected nodes without those inside another selected section; coords is the section path, entry_ix set for entries."""
-    a = selected.where("entry_ix IS NULL").select(F.col("doc_key").alias("_doc"), F.col("coords").alias("_coords"), F.col("coords")[0].alias("_top"))
+    a = selected.where("entry_ix IS NULL").select(F.col("doc_key").alias("_doc"), F.col("coords").alias("_coords"), F.get("coords", F.lit(0)).alias("_top"))
     inside = (
-        (F.col("doc_key") == F.col("_doc")) & (F.col("coords")[0] == F.col("_top"))
+        (F.col("doc_key") == F.col("_doc")) & F.get("coords", F.lit(0)).eqNullSafe(F.col("_top"))
         & (F.slice("coords", F.lit(1), F.size("_coords")) == F.col("_coords"))
         & ((F.size("coords") > F.size("_coords")) | F.col("entry_ix").isNotNull())
     )

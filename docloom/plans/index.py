@@ -67,7 +67,7 @@ class Index:
     @property
     def nodes(self) -> DataFrame:
         each = self.documents.select("doc_key", "ranges", F.posexplode("nodes").alias("ord", "n")).select("doc_key", F.col("ord").cast("long").alias("ord"), "n.*", "ranges")
-        at = F.filter("ranges", lambda r: r["path"] == F.col("path"))[0]
+        at = F.get(F.filter("ranges", lambda r: r["path"] == F.col("path")), F.lit(0))
         section = F.regexp_replace("path", "/e[0-9]+$", "")
         coords = F.when(section == "root", F.array().cast("array<int>")).otherwise(F.split(section, r"\.").cast("array<int>"))
         entry = F.nullif(F.regexp_extract("path", "/e([0-9]+)$", 1), F.lit("")).cast("int")
