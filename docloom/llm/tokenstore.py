@@ -36,10 +36,10 @@ from docloom.llm.common import materialize
 
 #: The id after the last of each document.
 END_ID = 2
-#: Pieces that a Python worker remembers with their ids; the table is emptied when it is full.
-PIECES_KEPT = 200_000
+#: Pieces and pre-tokens that a Python worker remembers with their ids; a table is emptied when it is full.
+PIECES_KEPT, OFTEN_KEPT, PRE_TOKENS_KEPT = 200_000, 250_000, 250_000
 #: Characters of text that are encoded together.
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 6_000_000
 #: Pieces that are encoded as one text.
 TOGETHER = 200
 #: A chunk ends where the rolling hash of WINDOW ids has its BITS high bits clear, but has LEAST to MOST ids.
@@ -91,11 +91,15 @@ class Encoder:
         self.mark_id = self.merges.encode(self.alphabet[9]).ids[0]
         # the bytes FF and FE are never in UTF-8: one stands for the tab between pre-tokens, one for the mark
         self.alphabet |= {0xFF: "\t", 0xFE: self.alphabet[9]}
-        self.clear()
+        self.known: dict[str, bytes] = {}  # pre-tokens
+        self.pieces: dict[str, bytes] = {}  # pieces met in one group of texts so far
+        self.often: dict[str, bytes] = {}  # pieces met in more groups
 
-    def clear(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+    def forget(self) -> None:
+        """Empty the tables that are full; pieces that came again outlast the many that occur once."""
+        for table, most in ((self.known, PRE_TOKENS_KEPT), (self.pieces, PIECES_KEPT), (self.often, OFTEN_KEPT)):
+            if len(table) > most:
+                table.clear()
 
     def _merge(self, new: list[str]) -> None:
         """Learn pre-tokens, some hundred at a time, with a mark after each."""
@@ -114,7 +118,13 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Learn pieces, which start with their blank if they have one."""
-        new = [p for p in pieces if p not in self.pieces]
+        new, often, young = [], self.often, self.pieces
+        for p in pieces:
+            if p not in often:
+                if (ids := young.pop(p, None)) is not None:
+                    often[p] = ids
+                else:
+                    new.append(p)
         # between pieces, a tab is a pre-token of its own
         plain = [p for p in new if "\t" not in p and _is_plain(p)]
         cut = self.pre_tokens.findall("\t".join(plain))
@@ -144,8 +154,7 @@ class Encoder:
             yield from self._encode(pc.fill_null(texts.slice(start, stop - start), ""))
 
     def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        if len(self.pieces) > PIECES_KEPT:
-            self.clear()
+        self.forget()
         spaced = pc.match_substring_regex(texts, _TWO_SPACES)
         cut = pc.split_pattern(pc.if_else(spaced, "", texts), " ")
         offsets = cut.offsets.to_numpy()
@@ -159,10 +168,10 @@ class Encoder:
         pieces = [" " + words[k] for k in used.tolist()]
         heads = [words[k] for k in codes[first].tolist()]
         self.learn([*pieces, *dict.fromkeys(heads)])
-        get = self.pieces.__getitem__
-        found = [*map(get, pieces)]
+        often, young = self.often, self.pieces
+        found = [often[p] if p in often else young[p] for p in pieces]
         for k, (head, is_spaced) in enumerate(zip(heads, spaced.to_pylist())):
-            found.append(self.whole(texts[k].as_py()) if is_spaced else get(head))
+            found.append(self.whole(texts[k].as_py()) if is_spaced else often[head] if head in often else young[head])
         place = np.zeros(len(words), np.int64)
         place[used] = np.arange(len(used))
         at = place[codes]
