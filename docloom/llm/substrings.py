@@ -174,6 +174,9 @@ def _sent(common: np.ndarray, n_buckets: int):
 
 
 def _digit(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The bytes from at on as a number, the first byte the most significant."""
+    if width == 8 and len(at):
+        return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(">u8").ravel().astype(np.uint64)
     out = np.zeros(len(at), np.uint64)
     for k in range(width):
         out = (out << np.uint64(8)) | data[at + k]
