@@ -310,6 +310,46 @@ def test_simhash_search_is_complete(spark, monkeypatch, tile):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_similar_texts_of_the_stage(spark, docs, empty, monkeypatch):
+    import corpus_pipeline
+    from docloom.llm import similar
+
+    rng = random.Random(3)
+    texts = [r[1] for r in rows()]
+    for i in range(12):  # copies with some words changed, about the bound on both sides
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(200 + 20 * i)]
+        texts.append(" ".join(base))
+        for changes in (1, 3, 4, 5, 6, 9):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changes * len(copy) // 200):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    texts += [prose(50, 300) + " tail " + prose(k, 20) for k in range(12)]
+
+    def shingled(text):
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, up = [shingled(t) for t in texts], list(range(len(texts)))
+    loose = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                loose += bin(fingerprint(texts[i]) ^ fingerprint(texts[j])).count("1") > 4
+                old, new = up[i], up[j]
+                up = [new if x == old else x for x in up]
+    assert loose  # near copies that four bits would not find
+    least = sorted(min(i for i in range(len(up)) if up[i] == u) for u in set(up))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for pairs_a_row, sample in ((4, 20_000), (0, 20)):
+        monkeypatch.setattr(similar, "PAIRS_A_ROW", pairs_a_row)
+        monkeypatch.setattr(similar, "SAMPLE", sample)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, table, "").collect()) == least
+    kept = similar.drop_near_copies(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 0
+    assert similar.drop_near_copies(empty).count() == 0
+
+
 def test_thresholds_are_the_cheapest():
     costs = [[0, 5, 9, 30, 99, 99], [0, 2, 8, 40, 99, 99], [0, 7, 11, 12, 99, 99]]
     cost, chosen = simhash.allocate(costs, 2)
