@@ -70,10 +70,25 @@ def _is_aside(attributes: str) -> bool:
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """Lines in page order, each with ASIDE_LINE, ARTICLE_LINE or OPEN_LINE."""
+    """Lines in page order, each with ASIDE_LINE, ARTICLE_LINE or OPEN_LINE.
+
+    Class, id and role words that hide all of a page's articles do not count on the articles and what contains them; those that
+    hide all of its text do not count at all.
+    """
+    out, around = _lines(page, frozenset())
+    if around and not any(f == ARTICLE_LINE for _, f in out):
+        out, _ = _lines(page, around)
+    if out and all(f == ASIDE_LINE for _, f in out):
+        out, _ = _lines(page, None)
+    return out
+
+
+def _lines(page: str | None, wordless: frozenset[int] | None) -> tuple[list[tuple[str, int]], frozenset[int]]:
+    """Lines, and places of the tags that open an article or what contains one; words in the tags at the places wordless (None: all) do not count."""
+    around: set[int] = set()
     out: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # name, open asides, open articles, with this one
+    stack: list[tuple[str, int, int, int]] = []  # name, open asides, open articles, with this one, place of the tag
     asides = articles = 0
     source = page or ""
 
@@ -120,13 +135,18 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
-        aside = name in ASIDE or (name == "header" and not articles) or _is_aside(attributes)
+        aside = name in ASIDE or (name == "header" and not articles)
+        if not aside and name not in ("html", "body") and wordless is not None and tag.start() not in wordless:
+            aside = _is_aside(attributes)
+        if name in ARTICLE:
+            around.update(p for *_, p in stack)
+            around.add(tag.start())
         article = name in ARTICLE and not aside
         asides, articles = asides + aside, articles + article
-        stack.append((name, asides, articles))
+        stack.append((name, asides, articles, tag.start()))
     held.append(source[at:])
     flush()
-    return out
+    return out, frozenset(around)
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:

@@ -235,6 +235,16 @@ def test_html(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_words_never_hide_the_whole_page():
+    for page in (
+        '<body class="has-sidebar"><nav>n</nav><article><p>text</p></article></body>',
+        '<div class="content-sidebar-wrap"><article><p>text</p></article><div class="sidebar">s</div></div>',
+        '<div class="ad">a</div><article class="post share"><p>text</p><div class="share">s</div></article>',
+    ):
+        assert [t for t, f in htmltext.lines_of(page) if f == htmltext.ARTICLE_LINE] == ["text"]
+    assert htmltext.lines_of('<div class="content-sidebar-wrap"><nav>n</nav><p>text</p></div>') == [("n", htmltext.ASIDE_LINE), ("text", htmltext.OPEN_LINE)]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(300):
