@@ -170,6 +170,24 @@ def _precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.ranked(resolve.candidates(_catalog(spark, sf_dir), _names(spark, sf_dir))).select("selector", "catalog_path", "path", "phase", "place")
 
 
+def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors: the last path component of every page, and every manual's name."""
+    pages = _markdown(spark, sf_dir).where("name <> ''").select(F.col("name").alias("selector"))
+    names = pages.unionByName(_read(spark, sf_dir, "documents").select(F.col("source").alias("selector"))).where("selector IS NOT NULL").distinct()
+    return names.select("selector", F.col("selector").alias("name"), F.lit(0).alias("cand_ord"))
+
+
+# no SQL: its suffix join compares all selectors with all pages; a test has the brute-force version
+@_register("resolve_all_names")
+def _resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(_catalog(spark, sf_dir), _all_names(spark, sf_dir))
+
+
+@_register("resolve_all_precedence")
+def _precedence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.ranked(resolve.candidates(_catalog(spark, sf_dir), _all_names(spark, sf_dir))).select("selector", "catalog_path", "path", "phase", "place")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "text")
 

@@ -166,3 +166,20 @@ def test_stream(spark, tmp_path):
     watch(*args).awaitTermination()
     rows = current(spark, str(tmp_path / "out")).orderBy("doc_key").collect()
     assert [(r["title"], r["batch"]) for r in rows] == [("A", 0), ("B", 1)]
+
+
+def test_all_names_are_resolved(spark, tmp_path):
+    from docloom.plans.driver import QUERIES
+
+    urls = ["http://www.a.com/en/5.html", "http://b.org/en/9992", "http://cc.org/fr/9992.html", "http://b.org/fr/x", "http://b.org/de/9992/7001", "http://www.a.com/"]
+    spark.createDataFrame([(u,) for u in urls], "url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "t", "en", "src1", 1), (2, "t", "de", "x", 1), (3, "t", "de", None, 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = {u: u.split("/", 3)[3].removesuffix(".html") for u in urls}
+    manuals = {"src1": "1", "x": "2"}
+    asked = {p.rsplit("/", 1)[-1] for p in pages.values()} - {""} | set(manuals)
+    got = QUERIES["resolve_all_precedence"](spark, str(tmp_path)).collect()
+    want = {(s, u) for s in asked for u, p in pages.items() if ("/" + p).endswith("/" + s)} | {(s, "1") for s in asked if s == "src1"} | {(s, "2") for s in asked if s == "x"}
+    assert {(r["selector"], r["path"]) for r in got} == want and len(got) == len(want)
+    found = {r["selector"]: (r["winner"], r["n_choices"]) for r in QUERIES["resolve_all_names"](spark, str(tmp_path)).collect()}
+    # hosts of 5 and 6 letters have priorities 1 and -1: manuals come between
+    assert found == {"5": ("documents/en/5", 1), "9992": ("sources/b.org/en/9992", 1), "x": ("sources/b.org/fr/x", 1), "7001": ("sources/b.org/de/9992/7001", 1), "src1": ("manual/1/src1", 1)}
