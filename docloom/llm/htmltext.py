@@ -1,20 +1,31 @@
 """Main text of web pages by differencing pages with near urls.
 
-A page becomes lines: the text of its blocks, with what the markup says of them (inside
-an article or main element, or inside a menu, form, advert and so on).  Pages of a host are
-put in order of their paths and each is paired with the neighbour whose path starts most
-alike; the lines of both are aligned by a longest common subsequence and shared lines are
-deleted.  Lines inside an article element are the article's own and stay, as articles may
-quote the same passage; where a page has such an element, lines elsewhere go.
+A page becomes lines: the text of its blocks, each with its slot (the elements around it, with their classes)
+and what the markup says of it.  The distinct pages of a host are put in order of their paths and
+each is paired with the neighbour whose path starts most alike.  Two longest common
+subsequences align a pair: one of the lines' texts, one of the runs of equal slots.  What they share is the site's:
+
+* a line whose text is shared goes, unless an article or main element protects it, as articles may quote the same passage;
+* a line that class, id or role words call an advert, a notice, comments and so on goes if its slot or its text is shared
+  (in an article only whole class words count; a page without a neighbour has these words alone, and they don't reach into articles;
+  the whole class words of SURE_WORDS need no neighbour);
+* the unshared lines say where the main text lies: in the page's article, or, if more than TEASER times as much
+  unshared text lies outside of it, outside (the articles are then teasers).
+
+Elements that HTML defines as menus, footers, sidebars, forms and the like go on every page, as those texts
+differ from page to page on many sites.  A neighbour that shares all of a page's unmarked lines is a copy
+with another menu and decides nothing.
 
 Hosts are cut into ranges of bounded size, with the pages at either side of a cut, so a host
-with a third of all pages is no one task's.  Only line hashes are dealt out for that; texts
-move only where a page has lines that the markup leaves undecided.
+with a third of all pages is no one task's.  Pages of a host with the same lines are one page there, so
+copies cost one comparison and never count as neighbours.  Only hashes are dealt out for that; texts
+move once, compressed, to meet the decisions.
 
 Defined cases: null html has no lines and an empty text; a null url has an empty host and path; a page
-whose host has no other page shares nothing; pages with equal paths are neighbours in any
-order that stays the same for the same input; repeated rows are pages of their own; an empty
-table gives no rows; further columns are not read.
+whose host has no other page shares nothing; pages with equal paths are neighbours in an
+order of their lines' hashes, the same for the same input; repeated rows are rows of their own with equal texts; a very long
+page is one row of its task and is aligned in memory linear in its lines; an empty table gives no
+rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,26 +34,35 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import drop_scratch, materialize
 from docloom.llm.urlfilter import host_of, path_of
 
-#: Pages of one range.
+#: Distinct pages of one range.
 PAGES_A_RANGE = 5_000
+#: Articles are teasers if more than this many times their text is unshared and outside of them.
+TEASER = 3
+#: Bits that one alignment may hold at once; longer ones are split.
+BITS_AT_ONCE = 64_000_000
 #: Elements whose text is never shown.
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea select datalist".split())
 #: Elements that are no part of an article.
 ASIDE = frozenset("nav footer aside form menu dialog button fieldset".split())
-#: Words in class, id or role of elements that are no part of an article.
+#: Words in class, id or role of elements that may be no part of an article.
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer header login menu "
     "modal nav navbar navigation newsletter notice notices pagination popup promo related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Class words that are as sure as an element if they stand alone.
+SURE_WORDS = frozenset("ad ads advert advertisement adverts comments cookie cookies disqus newsletter popup sharing sidebar social sponsored subscribe".split())
 #: Elements that hold an article.
 ARTICLE = frozenset("article main".split())
 #: Elements within a line; all others begin and end blocks.
@@ -57,51 +77,65 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in UNSEEN}
 
-ASIDE_LINE, ARTICLE_LINE, OPEN_LINE = 0, 1, 2
+#: Marks of lines: none; called an aside by words; inside an element that is one for sure.
+PLAIN, CALLED, SURE = 0, 1, 2
 
 
-def _is_aside(attributes: str) -> bool:
+class Line(NamedTuple):
+    text: str
+    mark: int
+    inside: bool  # an article
+    slot: str
+
+
+class _Open(NamedTuple):
+    name: str
+    asides: int
+    called: int
+    articles: int
+    place: int  # of its tag
+    slot: str
+
+
+def _names(attributes: str) -> tuple[list[str], list[str]]:
+    """Words of class and role, and of the id."""
     if "=" not in attributes:
-        return False
-    return any(w in ASIDE_WORDS for found in _NAMED.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(found).lower()))
+        return [], []
+    found = _NAMED.findall(attributes.lower())
+    return [w for kind, *value in found if kind != "id" for w in "".join(value).split()], [w for kind, *value in found if kind == "id" for w in "".join(value).split()]
 
 
-def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """Lines in page order, each with ASIDE_LINE, ARTICLE_LINE or OPEN_LINE.
+def _is_called(words: list[str], ids: list[str], inside: bool) -> bool:
+    if inside:  # an id there names a section, and a word with others is its own
+        return any(w in ASIDE_WORDS for w in words)
+    return any(part in ASIDE_WORDS for w in (*words, *ids) for part in re.split(r"[^a-z0-9]+", w))
 
-    Class, id and role words that hide all of a page's articles do not count on the articles and what contains them; those that
-    hide all of its text do not count at all.
-    """
+
+def lines_of(page: str | None) -> list[Line]:
+    """Lines in page order; words that would hide all of a page's articles do not count on them and what contains them."""
     out, around = _lines(page, frozenset())
-    if around and not any(f == ARTICLE_LINE for _, f in out):
+    if around and not any(x.inside and x.mark == PLAIN for x in out):
         out, _ = _lines(page, around)
-    if out and all(f == ASIDE_LINE for _, f in out):
-        out, _ = _lines(page, None)
     return out
 
 
-def _lines(page: str | None, wordless: frozenset[int] | None) -> tuple[list[tuple[str, int]], frozenset[int]]:
-    """Lines, and places of the tags that open an article or what contains one; words in the tags at the places wordless (None: all) do not count."""
+def _lines(page: str | None, wordless: frozenset[int]) -> tuple[list[Line], frozenset[int]]:
+    """Lines, and places of the tags that open an article or what contains one; words in the tags at the places wordless do not count."""
     around: set[int] = set()
-    out: list[tuple[str, int]] = []
+    out: list[Line] = []
     held: list[str] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, open asides, open articles, with this one, place of the tag
-    asides = articles = 0
-    source = page or ""
+    outside = _Open("", 0, 0, 0, -1, "")
+    stack: list[_Open] = []
+    top, source = outside, page or ""
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, ASIDE_LINE if asides else ARTICLE_LINE if articles else OPEN_LINE))
-
-    def pop(to: int) -> None:
-        nonlocal asides, articles
-        del stack[to:]
-        asides, articles = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+            out.append(Line(text, SURE if top.asides else CALLED if top.called else PLAIN, top.articles > 0, top.slot))
 
     at = 0
     while (tag := _TAG.search(source, at)) is not None:
@@ -117,9 +151,10 @@ def _lines(page: str | None, wordless: frozenset[int] | None) -> tuple[list[tupl
             held.append(" ")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
+                if stack[k].name == name:
+                    del stack[k:]
                     break
+            top = stack[-1] if stack else outside
             continue
         if name in UNSEEN and not attributes.endswith("/"):
             end = _ENDS[name].search(source, at)
@@ -130,46 +165,61 @@ def _lines(page: str | None, wordless: frozenset[int] | None) -> tuple[list[tupl
         if name in CLOSES or name in ENDS_P:
             ended = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ended:
-                    pop(k)
+                if stack[k].name in ended:
+                    del stack[k:]
                     break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
+                if stack[k].name not in INLINE and stack[k].name != "p":
                     break
-        aside = name in ASIDE or (name == "header" and not articles)
-        if not aside and name not in ("html", "body") and wordless is not None and tag.start() not in wordless:
-            aside = _is_aside(attributes)
+            top = stack[-1] if stack else outside
+        words, ids = _names(attributes)
+        aside = name in ASIDE or (name == "header" and not top.articles)
+        worded = not aside and name not in ("html", "body") and tag.start() not in wordless
+        called = worded and _is_called(words, ids, top.articles > 0)
+        aside = aside or worded and not SURE_WORDS.isdisjoint(words)
         if name in ARTICLE:
-            around.update(p for *_, p in stack)
+            around.update(x.place for x in stack)
             around.add(tag.start())
-        article = name in ARTICLE and not aside
-        asides, articles = asides + aside, articles + article
-        stack.append((name, asides, articles, tag.start()))
+        article = name in ARTICLE and not (top.asides or top.called or aside or called)
+        slot = top.slot if name in INLINE else f"{top.slot}/{name}" + "".join(f".{w}" for w in sorted({re.sub(r'[0-9]+', '', w) for w in words}))
+        top = _Open(name, top.asides + aside, top.called + called, top.articles + article, tag.start(), slot)
+        stack.append(top)
     held.append(source[at:])
     flush()
     return out, frozenset(around)
 
 
-def shared_lines(a: list[int], b: list[int]) -> list[int]:
-    """Indexes of a in a longest common subsequence of both (bit-parallel, traced back)."""
-    head = 0
-    while head < len(a) and head < len(b) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    out = [*range(head), *range(len(a) - tail, len(a))]
-    in_a, in_b = set(a[head : len(a) - tail]), set(b[head : len(b) - tail])
-    x = [(i, v) for i, v in enumerate(a[head : len(a) - tail], head) if v in in_b]
-    y = [v for v in b[head : len(b) - tail] if v in in_a]
+def _states(x: list[int], y: list[int]) -> Iterator[int]:
+    """After each element of x: bit j is clear if y[: j + 1] has a longer common subsequence with it than y[:j]."""
     places: dict[int, int] = {}
     for j, v in enumerate(y):
         places[v] = places.get(v, 0) | 1 << j
-    whole = (1 << len(y)) - 1
-    rows, state = [whole], whole
-    for _, v in x:
-        met = state & places[v]
+    state = whole = (1 << len(y)) - 1
+    for v in x:
+        met = state & places.get(v, 0)
         state = ((state + met) | (state - met)) & whole
-        rows.append(state)
+        yield state
+
+
+def _scores(x: list[int], y: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of x with each prefix of y."""
+    state = (1 << len(y)) - 1
+    for state in _states(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(state.to_bytes((len(y) + 7) // 8 or 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def _aligned(x: list[int], y: list[int], first: int, out: list[int]) -> None:
+    """Adds the indexes, from first on, of x in a longest common subsequence; long inputs are halved where their halves' scores fit best."""
+    if not x or not y:
+        return
+    if len(x) > 1 and len(x) * len(y) > BITS_AT_ONCE:
+        half = len(x) // 2
+        cut = int(np.argmax(_scores(x[:half], y) + _scores(x[half:][::-1], y[::-1])[::-1]))
+        _aligned(x[:half], y[:cut], first, out)
+        _aligned(x[half:], y[cut:], first + half, out)
+        return
+    rows = [(1 << len(y)) - 1, *_states(x, y)]
     i, j = len(x), len(y)
     while i and j:
         if rows[i] >> (j - 1) & 1:
@@ -179,8 +229,108 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
         else:
             i -= 1
             j -= 1
-            out.append(x[i][0])
-    return sorted(out)
+            out.append(first + i)
+
+
+def shared_lines(a: list[int], b: list[int]) -> list[int]:
+    """Indexes of a in a longest common subsequence of both (bit-parallel, traced back)."""
+    head = 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [*range(head), *range(len(a) - tail, len(a))]
+    in_a, in_b = set(a[head : len(a) - tail]), set(b[head : len(b) - tail])
+    x = [(i, v) for i, v in enumerate(a[head : len(a) - tail], head) if v in in_b]
+    found: list[int] = []
+    _aligned([v for _, v in x], [v for v in b[head : len(b) - tail] if v in in_a], 0, found)
+    return sorted([*out, *(x[k][0] for k in found)])
+
+
+def shared_slots(a: list[int], b: list[int]) -> list[int]:
+    """Indexes of a whose runs of equal slots are in a longest common subsequence of both pages' runs."""
+    starts = [i for i, v in enumerate(a) if not i or a[i - 1] != v]
+    runs = shared_lines([a[i] for i in starts], [v for i, v in enumerate(b) if not i or b[i - 1] != v])
+    stops = [*starts[1:], len(a)]
+    return [i for k in runs for i in range(starts[k], stops[k])]
+
+
+def kept_lines(hashes: list[int], slots: list[int], marks: list[int], sizes: list[int], near: list[tuple[list[int], list[int]]]) -> tuple[list[int], int]:
+    """Indexes of the lines that stay, and the number of texts shared with the neighbour that decides.
+
+    marks are the lines' marks, with 4 added inside an article; near has hashes and slots of the neighbours, the nearest first.
+    """
+    plain = [i for i, m in enumerate(marks) if not m & 3]
+    inside = [i for i in plain if marks[i] & 4]
+    texts: set[int] = set()
+    places: set[int] | None = None
+    for other, other_slots in near:
+        shared = set(shared_lines(hashes, other))
+        if all(i in shared for i in plain) and plain:
+            continue  # a copy
+        texts, places = shared, set(shared_slots(slots, other_slots))
+        break
+    own = [i for i in plain if not marks[i] & 4 and i not in texts]
+    articles = bool(inside) and sum(sizes[i] for i in own) <= TEASER * sum(sizes[i] for i in inside)
+    out = []
+    for i, m in enumerate(marks):
+        if m & 3 == SURE or bool(m & 4) != articles and (articles or inside):
+            continue
+        if m & 3 == CALLED and (i in texts or i in places if places is not None else not m & 4):
+            continue
+        if m & 3 == PLAIN and not m & 4 and i in texts:
+            continue
+        out.append(i)
+    return out, len(texts)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _key(host: str, hashes: list[int], slots: list[int], marks: list[int]) -> bytes:
+    """Names pages of a host with the same lines."""
+    return hashlib.blake2b(np.array([hashes, slots, marks], np.int64).tobytes() + host.encode(), digest_size=16).digest()
+
+
+def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each batch: the batch, its pages' lines, and by page the lines' hashes, slots, marks, and the page's key."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        pages = [lines_of(x.as_py()) for x in batch.column("_html")]
+        if len(known) > 100_000:
+            known.clear()
+        hashes = [[_hash(x.text) for x in page] for page in pages]
+        slots = [[known.get(x.slot) or known.setdefault(x.slot, _hash(x.slot)) for x in page] for page in pages]
+        marks = [[x.mark + 4 * x.inside for x in page] for page in pages]
+        yield batch, pages, hashes, slots, marks, [*map(_key, batch.column("host").to_pylist(), hashes, slots, marks)]
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, pages, hashes, slots, marks, keys in _read(batches):
+        yield _batch(
+            {
+                "key": pa.array(keys, pa.binary()),
+                "host": batch.column("host"),
+                "path": batch.column("path"),
+                "hashes": pa.array(hashes, pa.list_(pa.int64())),
+                "slots": pa.array(slots, pa.list_(pa.int64())),
+                "marks": pa.array(marks, pa.list_(pa.int8())),
+                "sizes": pa.array([[len(x.text) for x in page] for page in pages], pa.list_(pa.int32())),
+            }
+        )
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=6)
+    for batch, pages, _, _, _, keys in _read(batches):
+        lines = [pack.compress("\n".join(x.text for x in page).encode()) for page in pages]
+        yield _batch({"id": batch.column("id"), "page_url": batch.column("page_url"), "key": pa.array(keys, pa.binary()), "lines": pa.array(lines, pa.binary())})
 
 
 def _alike(a: str, b: str) -> int:
@@ -192,66 +342,69 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages = [lines_of(x.as_py()) for x in batch.column("_html")]
-        hashes = [[int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t, _ in p] for p in pages]
-        kept = [c for c in batch.schema.names if c != "_html"]
-        columns = [
-            pa.array([[t for t, _ in p] for p in pages], pa.list_(pa.string())),
-            pa.array([[f for _, f in p] for p in pages], pa.list_(pa.int8())),
-            pa.array(hashes, pa.list_(pa.int64())),
-        ]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, "lines", "flags", "hashes"])
-
-
 def _paired(pages: pd.DataFrame) -> pd.DataFrame:
-    """One range with its neighbours at either side: the shared lines of each page of its own."""
-    pages = pages.sort_values(["host", "path", "row"], kind="stable")
-    hosts, paths, hashes, own, rows = (pages[c].tolist() for c in ("host", "path", "hashes", "own", "row"))
+    """One range with its neighbours at either side: what stays of each page of its own."""
+    pages = pages.sort_values(["host", "path", "key"], kind="stable")
+    hosts, paths, keys, own = (pages[c].tolist() for c in ("host", "path", "key", "own"))
+    hashes, slots, marks, sizes = (pages[c].tolist() for c in ("hashes", "slots", "marks", "sizes"))
     out = []
-    for i in range(len(rows)):
-        if not own[i]:
-            continue
-        near = [k for k in (i - 1, i + 1) if 0 <= k < len(rows) and hosts[k] == hosts[i]]
-        if near:
-            k = max(near, key=lambda k: _alike(paths[i], paths[k]))
-            out.append((rows[i], shared_lines(list(hashes[i]), list(hashes[k]))))
-    return pd.DataFrame({"row": pd.Series([r for r, _ in out], dtype="int64"), "shared": pd.Series([s for _, s in out], dtype=object)})
-
-
-def shared_with_neighbour(parsed: DataFrame) -> DataFrame:
-    """row and shared (indexes of lines) for pages with row, host, path, hashes."""
-    n = max(1, -(-parsed.count() // PAGES_A_RANGE))
-    ranged = materialize(parsed.select("row", "host", "path", "hashes").repartitionByRange(n, "host", "path", "row").withColumn("part", F.spark_partition_id()), "page-ranges")
-    page = F.struct("host", "path", "row", "hashes")
-    order = F.struct("host", "path", "row")
-    edges = ranged.groupBy("part").agg(F.min_by(page, order).alias("first"), F.max_by(page, order).alias("last"))
-    # ranges that hold rows follow each other without gaps in this numbering
-    parts = edges.select("part").collect()
-    place = {p: k for k, p in enumerate(sorted(r["part"] for r in parts))}
-    before = {p: q for p, q in zip(sorted(place)[1:], sorted(place))}
-    if before:
-        steps = parsed.sparkSession.createDataFrame(list(before.items()), "part int, prior int")
-        from_prior = steps.join(edges.select(F.col("part").alias("prior"), "last"), "prior").select("part", "last.*")
-        from_next = steps.select(F.col("prior").alias("part"), F.col("part").alias("next")).join(edges.select(F.col("part").alias("next"), "first"), "next").select("part", "first.*")
-        whole = ranged.withColumn("own", F.lit(True)).unionByName(from_prior.unionByName(from_next).withColumn("own", F.lit(False)))
-    else:
-        whole = ranged.withColumn("own", F.lit(True))
-    return whole.groupBy("part").applyInPandas(_paired, "row bigint, shared array<int>")
+    for i in range(len(keys)):
+        if own[i]:
+            near = [k for k in (i - 1, i + 1) if 0 <= k < len(keys) and hosts[k] == hosts[i]]
+            near.sort(key=lambda k: -_alike(paths[i], paths[k]))
+            kept, shared = kept_lines(list(hashes[i]), list(slots[i]), list(marks[i]), list(sizes[i]), [(list(hashes[k]), list(slots[k])) for k in near])
+            out.append((keys[i], kept, shared))
+    return pd.DataFrame({"key": pd.Series([k for k, _, _ in out], dtype=object), "kept": pd.Series([x for _, x, _ in out], dtype=object), "n_shared": pd.Series([n for _, _, n in out], dtype="int64")})
+
+
+def decisions(hashed: DataFrame) -> DataFrame:
+    """key, kept (indexes of lines) and n_shared of the distinct pages (key, host, path, hashes, slots, marks, sizes)."""
+    page = F.struct("path", "hashes", "slots", "marks", "sizes")
+    once = materialize(hashed.groupBy("key", "host").agg(F.min_by(page, "path").alias("p")).select("key", "host", "p.*"), "distinct-pages")
+    n = max(1, -(-once.count() // PAGES_A_RANGE))
+    ranged = materialize(once.repartitionByRange(n, "host", "path", "key").withColumn("part", F.spark_partition_id()), "page-ranges")
+    drop_scratch(once)
+    held, order = F.struct(*once.columns), F.struct("host", "path", "key")
+    edges = ranged.groupBy("part").agg(F.min_by(held, order).alias("first"), F.max_by(held, order).alias("last"))
+    # a range may be empty, so those beside each other are found from the numbers alone
+    by_part = Window.orderBy("part")
+    steps = ranged.select("part").distinct().select("part", F.lag("part").over(by_part).alias("prior"), F.lead("part").over(by_part).alias("next"))
+    before = steps.join(edges.select(F.col("part").alias("prior"), "last"), "prior").select("last.*", "part")
+    after = steps.join(edges.select(F.col("part").alias("next"), "first"), "next").select("first.*", "part")
+    beside = before.unionByName(after).withColumn("own", F.lit(False))
+    whole = ranged.withColumn("own", F.lit(True)).unionByName(beside)
+    found = materialize(whole.groupBy("part").applyInPandas(_paired, "key binary, kept array<int>, n_shared bigint"), "decisions")
+    drop_scratch(ranged)
+    return found
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = []
+        for packed, kept in zip(batch.column("lines").to_pylist(), batch.column("kept").to_pylist()):
+            lines = unpack.decompress(packed).decode().split("\n")
+            out.append("\n\n".join([lines[i] for i in kept or ()]))
+        yield _batch(
+            {
+                "id": batch.column("id"),
+                "page_url": batch.column("page_url"),
+                "text": pa.array(out, pa.string()),
+                "n_chars": pa.array([len(t) for t in out], pa.int64()),
+                "n_shared": batch.column("n_shared"),
+            }
+        )
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
-    """id_col, url_col, text, n_chars, n_shared (lines deleted as shared with the neighbour; null where none was open)."""
-    held = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("page_url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("_html"))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema if f.name != "_html")
-    parsed = materialize(held.mapInArrow(_parsed, f"{types}, lines array<string>, flags array<tinyint>, hashes array<bigint>"), "pages")
-    # a page with an article element consists of that; in others the open lines are for the neighbour to decide
-    has_article = F.exists("flags", lambda f: f == ARTICLE_LINE)
-    undecided = ~has_article & F.exists("flags", lambda f: f == OPEN_LINE)
-    shared = shared_with_neighbour(parsed)
-    clear = parsed.where(~undecided).withColumn("shared", F.lit(None).cast("array<int>"))
-    open_pages = parsed.where(undecided).join(shared, "row", "left")
-    kept = F.expr(f"filter(lines, (x, i) -> flags[i] = {ARTICLE_LINE} OR (flags[i] = {OPEN_LINE} AND NOT exists(flags, f -> f = {ARTICLE_LINE}) AND NOT coalesce(array_contains(shared, i), false)))")
-    both = clear.unionByName(open_pages.select(*clear.columns)).withColumn("text", F.array_join(kept, "\n\n"))
-    return both.select(F.col("id").alias(id_col), F.col("page_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), F.size("shared").cast("long").alias("n_shared"))
+    """id_col, url_col, text, n_chars, n_shared (lines whose text the neighbour has too)."""
+    held = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("page_url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("_html"))
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+    hashed = held.select("host", "path", "_html").mapInArrow(_hashed, "key binary, host string, path string, hashes array<bigint>, slots array<bigint>, marks array<tinyint>, sizes array<int>")
+    found = decisions(hashed)
+    # pages are read twice, which costs less than the texts would take on disk meanwhile; copies of a page
+    # all meet one decision, and such a key is split by the adaptive join
+    packed = held.select("id", "page_url", "host", "_html").mapInArrow(_packed, f"id {kinds['id']}, page_url {kinds['page_url']}, key binary, lines binary")
+    met = packed.join(found, "key", "left").select("id", "page_url", "lines", "kept", "n_shared")
+    texts = met.mapInArrow(_texts, f"id {kinds['id']}, page_url {kinds['page_url']}, text string, n_chars bigint, n_shared bigint")
+    return texts.select(F.col("id").alias(id_col), F.col("page_url").alias(url_col), "text", "n_chars", "n_shared")
