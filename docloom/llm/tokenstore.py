@@ -11,11 +11,12 @@ The store is a folder with these Parquet tables (any file system that Spark writ
 * ``chunks``: key (digest), n_ids, ids (little-endian unsigned integers of `width` bytes)
 * ``recipes``: doc_id, place, start, n_tokens, keys (digests in order)
 * ``manifest``: level, node, count, hash
+* ``layout``: width, end_id
 
 Defined cases: a null text is empty, so it holds the end id alone; a null doc_id comes
 first; rows with equal ids follow each other in the order of their contents; repeated rows
-get recipes of their own; an empty table gives an empty store; further columns are not
-stored.
+get recipes of their own; a very long text is one row of its task and many chunks; an empty table
+gives an empty store; further columns are not stored.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.bytebpe import LONGEST, Merges, gathered, printed_bytes
 from docloom.llm.common import materialize
 
 #: The id after the last of each document.
 END_ID = 2
-#: Pieces and pre-tokens that a Python worker remembers with their ids; a table is emptied when it is full.
-PIECES_KEPT, OFTEN_KEPT, PRE_TOKENS_KEPT = 200_000, 250_000, 250_000
+#: Odd pieces and pre-tokens that a Python worker remembers with their ids; a table is emptied when it is full.
+PIECES_KEPT, PRE_TOKENS_KEPT = 200_000, 250_000
 #: Characters of text that are encoded together.
 TEXT_AT_ONCE = 6_000_000
 #: Pieces that are encoded as one text.
@@ -55,6 +57,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 #: White space that follows white space (a superset of what tokenizers hold to be white space).
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TWO_SPACES = _SPACE + "{2}"
+#: A line feed or none, letters of ranges that have nothing else in any version of Unicode, ASCII punctuation.
+_SIMPLE = r"^(?P<fed>\n?)(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{391}-\x{3a1}\x{3a3}-\x{3f5}\x{3f7}-\x{3ff}\x{400}-\x{481}\x{48a}-\x{527}]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 def _is_plain(piece: str) -> bool:
@@ -64,12 +68,13 @@ def _is_plain(piece: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts from a file of the tokenizers library, remembered by pieces between blanks.
+    """Ids of whole texts from a byte-level file of the tokenizers library, by distinct pieces.
 
-    Between two characters that are no white space, a blank always starts a pre-token of byte-level
-    tokenizers, so such pieces have the same ids apart.  A piece that is new is cut into pre-tokens,
-    and new pre-tokens go through the tokenizer's own merges.  Texts with longer white space runs are
-    encoded whole.
+    Between two characters that are no white space, a blank always starts a pre-token and a line feed is one,
+    so a text is cut before them and each distinct piece of some megabytes of text is looked at once.  Letters
+    with punctuation behind them, as most pieces are, are one or two pre-tokens, whose ids come from
+    :class:`Merges` for all of them together.  Other pieces are cut by the tokenizer's own pattern and merged
+    by the tokenizer itself, and texts with longer runs of white space are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -80,24 +85,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype(f"<u{width_of(path)}")
+        self.pairs = Merges(path)
+        self.line_feed = int(self.pairs.byte_ids[10])
         self.pre_tokens = pattern(PATTERN)
         # the same merges on pre-tokens that a tab separates, in the alphabet of bytes
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\t")
-        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [x for x in range(256) if x not in printed]
-        self.alphabet = {x: chr(256 + k) for k, x in enumerate(others)}
+        self.alphabet = printed_bytes()
         self.mark_id = self.merges.encode(self.alphabet[9]).ids[0]
         # the bytes FF and FE are never in UTF-8: one stands for the tab between pre-tokens, one for the mark
         self.alphabet |= {0xFF: "\t", 0xFE: self.alphabet[9]}
-        self.known: dict[str, bytes] = {}  # pre-tokens
-        self.pieces: dict[str, bytes] = {}  # pieces met in one group of texts so far
-        self.often: dict[str, bytes] = {}  # pieces met in more groups
+        self.known: dict[str, bytes] = {}  # pre-tokens of the odd pieces
+        self.pieces: dict[str, bytes] = {}  # odd pieces
 
     def forget(self) -> None:
-        """Empty the tables that are full; pieces that came again outlast the many that occur once."""
-        for table, most in ((self.known, PRE_TOKENS_KEPT), (self.pieces, PIECES_KEPT), (self.often, OFTEN_KEPT)):
+        """Empty the tables that are full."""
+        for table, most in ((self.known, PRE_TOKENS_KEPT), (self.pieces, PIECES_KEPT)):
             if len(table) > most:
                 table.clear()
 
@@ -116,15 +120,9 @@ class Encoder:
                 self.known[x] = whole[last:end]
                 last = end + width
 
-    def learn(self, pieces: list[str]) -> None:
-        """Learn pieces, which start with their blank if they have one."""
-        new, often, young = [], self.often, self.pieces
-        for p in pieces:
-            if p not in often:
-                if (ids := young.pop(p, None)) is not None:
-                    often[p] = ids
-                else:
-                    new.append(p)
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of odd pieces, which start with their blank if they have one."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
         # between pieces, a tab is a pre-token of its own
         plain = [p for p in new if "\t" not in p and _is_plain(p)]
         cut = self.pre_tokens.findall("\t".join(plain))
@@ -141,6 +139,7 @@ class Encoder:
         for piece in new:
             if piece not in self.pieces:
                 self.pieces[piece] = self.whole(piece)
+        return [self.pieces[p] for p in pieces]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -153,37 +152,67 @@ class Encoder:
         for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)]):
             yield from self._encode(pc.fill_null(texts.slice(start, stop - start), ""))
 
+    def _merged(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of strings that are one pre-token each: their codes among the distinct ones, whose ids and numbers of ids follow."""
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary
+        offsets, buffer = distinct.buffers()[1:]
+        ends = np.frombuffer(offsets, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+        data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+        ids, counts = self.pairs.encode(data, ends[:-1], np.diff(ends))
+        return coded.indices.to_numpy().astype(np.int64), ids, counts
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, given without their blank or with their line feed: the pool of ids, and where those of each piece lie."""
+        parts = pc.extract_regex(words, _SIMPLE)
+        simple = pc.and_(pc.is_valid(parts), pc.less_equal(pc.binary_length(words), LONGEST - 1))
+        fed, letters, marks = (pc.if_else(simple, pc.struct_field(parts, k), "") for k in range(3))
+        is_fed = pc.equal(pc.binary_length(fed), 1)
+        alone = pc.equal(pc.binary_length(letters), 0)
+        # the blank goes with the letters, or with the marks where there are none
+        lead = pc.if_else(pc.or_(is_fed, pc.invert(simple)), "", " ")
+        a = self._merged(pc.binary_join_element_wise(lead, pc.if_else(alone, marks, letters), ""))
+        b = self._merged(pc.if_else(alone, "", marks))
+        odd = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        odd_words = words.take(pa.array(odd)).to_pylist()
+        odd_fed = np.array([w[:1] == "\n" for w in odd_words], bool)
+        odd_ids = self.learn([w[1:] if f else " " + w for w, f in zip(odd_words, odd_fed.tolist())])
+        odd_sizes = np.fromiter(map(len, odd_ids), np.int64, len(odd_ids)) // self.dtype.itemsize
+        # three parts of each piece: a line feed, and one or two pre-tokens or the ids of an odd piece
+        pool = np.concatenate([[self.line_feed], a[1], b[1], np.frombuffer(b"".join(odd_ids), self.dtype)]).astype(self.dtype)
+        starts, sizes = np.zeros((len(words), 3), np.int64), np.zeros((len(words), 3), np.int64)
+        sizes[:, 0] = is_fed.to_numpy(zero_copy_only=False)
+        base = 1
+        for k, (codes, ids, counts) in enumerate((a, b), 1):
+            starts[:, k], sizes[:, k] = (base + np.cumsum(counts) - counts)[codes], counts[codes]
+            base += len(ids)
+        sizes[odd, 0], sizes[odd, 1], sizes[odd, 2] = odd_fed, odd_sizes, 0
+        starts[odd, 1] = base + np.cumsum(odd_sizes) - odd_sizes
+        own = sizes.sum(1)
+        return gathered(pool, starts.ravel(), sizes.ravel()), np.cumsum(own) - own, own
+
     def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         self.forget()
         spaced = pc.match_substring_regex(texts, _TWO_SPACES)
-        cut = pc.split_pattern(pc.if_else(spaced, "", texts), " ")
-        offsets = cut.offsets.to_numpy()
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(spaced, "", texts), "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        first = offsets[:-1] - offsets[0]
-        later = np.ones(len(codes), bool)
-        later[first] = False
-        used = np.unique(codes[later])
-        words = coded.dictionary.to_pylist()
-        pieces = [" " + words[k] for k in used.tolist()]
-        heads = [words[k] for k in codes[first].tolist()]
-        self.learn([*pieces, *dict.fromkeys(heads)])
-        often, young = self.often, self.pieces
-        found = [often[p] if p in often else young[p] for p in pieces]
-        for k, (head, is_spaced) in enumerate(zip(heads, spaced.to_pylist())):
-            found.append(self.whole(texts[k].as_py()) if is_spaced else often[head] if head in often else young[head])
-        place = np.zeros(len(words), np.int64)
-        place[used] = np.arange(len(used))
-        at = place[codes]
-        at[first] = len(used) + np.arange(len(first))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        store = np.frombuffer(b"".join(found), self.dtype)
-        begins = np.cumsum(sizes) - sizes
-        own = sizes[at]
-        ends = np.cumsum(own)
-        ids = store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[at] - (ends - own), own)]
+        # the first piece of a text has no blank
+        first = offsets[:-1]
+        heads = coded.dictionary.take(pa.array(codes[first])).to_pylist()
+        wholes = texts.filter(spaced).to_pylist()
+        head_ids = self.learn(heads)
+        for k, text in zip(np.flatnonzero(spaced.to_numpy(zero_copy_only=False)).tolist(), wholes):
+            head_ids[k] = self.whole(text)
+        pool, starts, sizes = self._distinct(coded.dictionary)
+        head_sizes = np.fromiter(map(len, head_ids), np.int64, len(head_ids)) // self.dtype.itemsize
+        begins, own = starts[codes], sizes[codes]
+        begins[first], own[first] = len(pool) + np.cumsum(head_sizes) - head_sizes, head_sizes
+        ids = gathered(np.concatenate([pool, np.frombuffer(b"".join(head_ids), self.dtype)]), begins, own)
+        ends = np.cumsum(own)[offsets[1:] - 1].tolist()
         last = 0
-        for end in ends[(offsets[1:] - offsets[0]) - 1].tolist():
+        for end in ends:
             yield ids[last:end]
             last = end
 
@@ -273,8 +302,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     kind = held.schema["doc_id"].dataType
     out = pa.schema([("kind", pa.int8()), ("key", pa.binary()), ("doc_id", to_arrow_type(kind)), ("n_ids", pa.int64()), ("keys", pa.list_(pa.binary())), ("ids", pa.binary())])
     rows = held.mapInArrow(_encoded(tokenizer, end_id, out), f"kind tinyint, key binary, doc_id {kind.simpleString()}, n_ids bigint, keys array<binary>, ids binary")
-    once = Window.partitionBy("key", "kind").orderBy("n_ids")
-    rows = rows.withColumn("nth", F.row_number().over(once)).where("kind = 0 OR nth = 1").drop("nth")
+    # recipes are apart by their rows, so equal documents don't meet; a chunk comes once from each task at most
+    rows = rows.withColumn("apart", F.when(F.col("kind") == 0, F.monotonically_increasing_id()))
+    once = Window.partitionBy("key", "apart").orderBy("n_ids")
+    rows = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth", "apart")
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/staged")
     whole = f"key binary, doc_id {kind.simpleString()}, n_ids bigint, keys array<binary>, ids binary"
     _move(spark, f"{path}/staged/kind=1", f"{path}/chunks")
@@ -295,7 +326,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         .select("doc_id", (F.col("docs_before") + F.col("nth")).alias("place"), (F.col("ids_before") + F.col("ids_here")).alias("start"), "n_tokens", "keys", "part")
     )
     recipes.repartitionByRange(n, "place").sortWithinPartitions("place").drop("part").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _write_manifest(spark, path, kind.simpleString())
+    _write_manifest(spark, path)
+    spark.createDataFrame([(width_of(tokenizer), end_id)], "width long, end_id long").coalesce(1).write.parquet(f"{path}/layout")
     _delete(spark, f"{path}/staged")
 
 
@@ -321,6 +353,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def width_of(tokenizer: str) -> int:
+    """Bytes of an id in the store."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
+def layout_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes of an id, and the end id."""
+    row = spark.read.parquet(f"{path}/layout").first()
+    return row["width"], row["end_id"]
+
+
 def recipes_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes")
 
@@ -350,12 +395,12 @@ def _levels(recipes: DataFrame) -> list[DataFrame]:
         below = nodes
 
 
-def _write_manifest(spark: SparkSession, path: str, kind: str) -> None:
+def _write_manifest(spark: SparkSession, path: str) -> None:
     levels = _levels(recipes_of(spark, path))
     whole = levels[0]
     for nodes in levels[1:]:
         whole = whole.unionByName(nodes)
-    whole.coalesce(max(1, len(levels))).write.parquet(f"{path}/manifest")
+    whole.write.parquet(f"{path}/manifest")
 
 
 def check_manifest(spark: SparkSession, path: str) -> str | None:
@@ -434,7 +479,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "start", "n_tokens")], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32 of each document.
 
     Every chunk is read once, checked against its digest and given a CRC; those of a document's
@@ -442,15 +487,15 @@ def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """
     recipes = recipes_of(spark, path)
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    chunks = chunks_of(spark, path).mapInArrow(_checked(width), "key binary, n_ids bigint, crc bigint")
+    chunks = chunks_of(spark, path).mapInArrow(_checked(layout_of(spark, path)[0]), "key binary, n_ids bigint, crc bigint")
     refs = recipes.select("place", F.posexplode("keys").alias("nth", "key")).join(chunks, "key", "left")
     parts = refs.groupBy("place").agg(F.collect_list(F.struct("nth", "crc", "n_ids")).alias("parts"))
     rows = recipes.select("place", "doc_id", "start", "n_tokens").join(parts, "place").drop("place")
     return rows.mapInArrow(_joined, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """From the files: doc_id, place, start, n_tokens and the ids themselves, as bytes of the given width."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """From the files: doc_id, place, start, n_tokens and the ids themselves, as bytes of the store's width."""
     recipes = recipes_of(spark, path)
     refs = recipes.select("place", F.posexplode("keys").alias("nth", "key")).join(chunks_of(spark, path), "key", "left")
     parts = refs.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("nth", "ids"))).alias("parts"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -119,17 +120,30 @@ def test_token_store_notices_damage(spark, docs, tmp_path):
 
 
 def test_encoder_pieces():
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = vocabulary("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    odd = ["", "  ", " a", "a ", "a  b", "a \n b", "\n\nx", "x\n", "it's  don't 's ' s", "tab\tx y\t", "é x y  z", "a\x1cb \x1c c", "<|endoftext|> hi", "日本 語  字", "a　b", " \t", "1 2,3. 4\r\n5", "ĉ x", "a\x00b", "a\n'b c\n 'd"]
+    odd = ["", "  ", " a", "a ", "a  b", "a \n b", "\n\nx", "x\n", "it's  don't 's ' s", "tab\tx y\t", "é x y  z", "a\x1cb \x1c c", "<|endoftext|> hi", "日本 語  字", "a　b", " \t", "1 2,3. 4\r\n5", "ĉ x", "a\x00b", "a\n'b c\n 'd", "\nx", "x\n", "a\n日本 b", "϶a ϵb", "don' 's a's _x_ __ x\n__", "w" * 39 + " " + "w" * 50 + " é" * 20, "ÄÖ straße's\n-x-", "привет, мир!\nда"]
+    rng = random.Random(8)
+    odd += ["".join(rng.choice(["a", "b", "é", "日", "1", "'", "s", ".", "%", " ", " ", "\n", "\t", "the", "Ж"]) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
     got = list(tokenstore.Encoder(path).encode(pa.array([*odd, None])))
     assert [g.tolist() for g in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in [*odd, ""]]
 
 
+def test_store_of_a_large_vocabulary(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenstore, "width_of", lambda path: 4)
+    path, store = vocabulary("byte_bpe_50k.json"), str(tmp_path / "wide")
+    pack = tokenstore._checked(4)
+    assert tokenstore.width_of(path) == 4 and pack is not None
+    raw = np.array([70_000, 2], "<u4").tobytes()
+    chunk = pa.RecordBatch.from_arrays([pa.array([tokenstore.digest(raw)], pa.binary()), pa.array([2], pa.int64()), pa.array([raw], pa.binary())], names=["key", "n_ids", "ids"])
+    assert [b.column("crc").to_pylist() for b in pack(iter([chunk]))] == [[zlib.crc32(raw)]]
+    spark.createDataFrame([(4, 2)], "width long, end_id long").write.parquet(f"{store}/layout")
+    assert tokenstore.layout_of(spark, store) == (4, 2)
+
+
 def contamination(docs, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = Counter()
