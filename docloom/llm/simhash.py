@@ -58,7 +58,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> b
     ends = np.cumsum(sizes + 1) - 1
     k = min(shingle, len(words))
     cuts = zip((ends - sizes)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.frombuffer(b"".join(map(xxh64_digest, [joined[a:b] for a, b in cuts], repeat(seed))), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join(map(xxh64_digest, [joined[a:b] for a, b in cuts], repeat(seed))), np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that are set in over half the hashes, which are rows of eight bytes."""
     counts = sum((np.unpackbits(hashes[i : i + 65_536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(hashes), 65_536)), np.zeros(64, np.int64))
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
@@ -303,12 +307,12 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_b
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns."""
-    held = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
-    rows = fingerprints(docs, [held], shingle, seed).select(F.monotonically_increasing_id().alias("_row"), "_doc", "fp")
-    rows = materialize(rows, "fingerprints")
-    order = F.struct(F.col("_doc.doc_id").isNull().alias("no_id"), F.col("_doc.doc_id").alias("id"), F.col("_row").alias("row"))
-    fps = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
-    kept = groups_of(fps, max_bits).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with all its columns.
+
+    Here near copies are texts whose sets of five-word shingles have a similarity of 0.8 or more: the search's links
+    within max_bits are verified, and what fingerprints can't find comes from an index of shingles (:mod:`docloom.llm.similar`).
+    """
+    from docloom.llm.similar import drop_similar
+
+    return drop_similar(docs, max_bits)

@@ -458,9 +458,9 @@ def test_similar_texts_of_the_stage(spark, docs, empty, monkeypatch):
         monkeypatch.setattr(similar, "PAIRS_A_ROW", pairs_a_row)
         monkeypatch.setattr(similar, "SAMPLE", sample)
         assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, table, "").collect()) == least
-    kept = similar.drop_near_copies(docs)
+    kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 0
-    assert similar.drop_near_copies(empty).count() == 0
+    assert simhash.drop_near_copies(empty).count() == 0
 
 
 def test_thresholds_are_the_cheapest():
