@@ -1,18 +1,20 @@
 """Benchmark decontamination, with DataFrame operations only.
 
 Benchmark items become windows of N_WORDS normalised words (an item of fewer words is one
-window).  Their hashes are sent to every task as one set, and each document is scanned
-where it lies: a window that occurs must hold one of the item's shorter grams at a
-position divisible by the stride, so a document is searched window by window only if
-such a gram is found.  Hits are verified word by word against the windows themselves in
-a join, which only the rows with hits enter.  Where the benchmark has more than
-SET_BOUND windows the set would be too large to send along with the plan; then all
-windows of the documents are joined with those of the benchmark instead.
+window).  A window that occurs in a document holds one of its own shorter grams at a position of the document
+that is divisible by the stride, so the hashes of all those grams form a small set that is sent
+to every task, and the documents' grams at these positions are looked up in it where they lie.
+Texts with such a gram, and only they, are looked up window by window and verified word by word.
+
+A text is named by 128 bits of its hash, so copies are looked at once, however many there are, and results
+meet their rows by that name.  Every table that is broadcast is counted before: beyond its bound the same
+join goes through a shuffle, of hashes in the first step and of suspect texts after it.
 
 Defined cases: a null or wordless text has no words, no hits and is clean; a null item
 has no windows; a null item_id counts as the empty id; equal windows of several items
-count for each of them; repeated rows are judged one by one; empty tables give no hits
-or no rows; further columns, whatever their names, are kept by :func:`decontaminate`.
+count for each of them; repeated rows have equal results; a very long text is searched whole, as rows of its
+positions; empty tables give no hits or no rows; further columns, whatever their names, are kept
+by :func:`decontaminate`.
 """
 
 from __future__ import annotations
@@ -26,16 +28,24 @@ from docloom.llm.common import ascii_lower, materialize
 N_WORDS = 13
 #: Normalised words of the contract, as a Java pattern.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to this many windows are sent along as a set of 64-bit hashes (8 bytes each, 0.5 MB).
-SET_BOUND = 65_536
-#: Up to this many distinct windows are broadcast in joins (about 200 bytes each).
-BROADCAST_WINDOWS = 200_000
+#: Up to this many rows of hashes (about 32 bytes each) or of windows (about 200 bytes each) are broadcast.
+BROADCAST_HASHES, BROADCAST_WINDOWS = 2_000_000, 200_000
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(ITEM_WORD), F.lit(0))
 
 
+def _names(text: Column) -> list[Column]:
+    """Two hashes that name a text."""
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
+
+
+def _sent(rows: DataFrame, bound: int) -> DataFrame:
+    """A written table, marked for broadcast if it is within the bound."""
+    return F.broadcast(rows) if rows.limit(bound + 1).count() <= bound else rows
+
+
 def item_windows(benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
     """Distinct windows: gram (space-joined), size, h, items (ids as strings)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w"))
@@ -49,60 +59,39 @@ def item_windows(benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
     )
 
 
-def _in_set(values: list[int]) -> str:
-    return ",".join(f"{v}L" if v != -(2**63) else "(-9223372036854775807L - 1L)" for v in values)
-
-
-def _scan_by_set(windows: DataFrame) -> Column:
-    """hits of a row with the words _w: where windows of each size may start, by hash."""
-    found = []
-    for size in [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]:
-        gram = (size + 1) // 2
-        stride = size - gram + 1
-        own = windows.where(F.col("size") == size)
-        grams = own.select(F.explode(F.expr(f"transform(sequence(1, {stride}), p -> xxhash64(slice(w, p, {gram})))")).alias("g")).distinct()
-        seeds = _in_set([r["g"] for r in grams.orderBy("g").collect()])
-        whole = _in_set([r["h"] for r in own.select("h").distinct().orderBy("h").collect()])
-        found.append(
-            f"CASE WHEN size(_w) >= {size} AND exists(sequence(1, size(_w) - {gram - 1}, {stride}), p -> xxhash64(slice(_w, p, {gram})) IN ({seeds}))"
-            f" THEN transform(filter(sequence(1, size(_w) - {size - 1}), p -> xxhash64(slice(_w, p, {size})) IN ({whole})),"
-            f" p -> named_struct('at', p, 'gram', array_join(slice(_w, p, {size}), ' '), 'h', xxhash64(slice(_w, p, {size})), 'size', {size}))"
-            f" ELSE array() END"
-        )
-    empty = "cast(array() as array<struct<at:int,gram:string,h:bigint,size:int>>)"
-    return F.expr(f"concat({', '.join([empty, *found])})")
-
-
-def _rows(docs: DataFrame, held: Column, windows: DataFrame, n_windows: int) -> DataFrame:
-    """Written rows: _row, _held, n_words, hits (null for clean rows, or where the join path finds them)."""
-    worded = docs.select(held.alias("_held"), words_of(docs["text"]).alias("_w"))
-    by_set = n_windows <= SET_BOUND
-    hits = _scan_by_set(windows) if by_set else F.lit(None).cast("array<struct<at:int,gram:string,h:bigint,size:int>>")
-    columns = ["_held", F.coalesce(F.greatest(F.size("_w"), F.lit(0)), F.lit(0)).cast("long").alias("n_words"), hits.alias("hits")]
-    if not by_set:
-        columns.append(F.col("_w"))
-    return materialize(worded.select(F.monotonically_increasing_id().alias("_row"), *columns), "decontam")
-
-
-def _verified(rows: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
-    """_row, at, size, items: occurrences of windows, compared word by word."""
-    own = windows.select("h", "gram", "items", "size")
-    own = F.broadcast(own) if n_windows <= BROADCAST_WINDOWS else own
-    if n_windows <= SET_BOUND:
-        hits = rows.where(F.size("hits") > 0).select("_row", F.inline("hits"))
-        return hits.join(own, ["h", "gram", "size"]).select("_row", "at", "size", "items")
-    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]
-    every = [F.expr(f"CASE WHEN size(_w) >= {s} THEN transform(sequence(1, size(_w) - {s - 1}), p -> named_struct('at', p, 'h', xxhash64(slice(_w, p, {s})), 'size', {s})) ELSE array() END") for s in sizes]
-    starts = rows.select("_row", F.inline(F.concat(*every)))
-    near = starts.join(own, ["h", "size"]).select("_row", "at", "size", "gram", "items")
-    return near.join(rows.select("_row", "_w"), "_row").where("array_join(slice(_w, at, size), ' ') = gram").select("_row", "at", "size", "items")
+def _grams(size: int) -> tuple[int, int]:
+    """Words of the grams of a window, and the stride of their positions: any window holds one at such a position."""
+    gram = (size + 1) // 2
+    return gram, size - gram + 1
 
 
-def _verdicts(rows: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
-    """_row, n_hit, spans (first word and one past the last), items; only rows with occurrences."""
-    found = _verified(rows, windows, n_windows)
-    return (
-        found.groupBy("_row")
+def _suspects(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Names of the texts that hold a gram of a window at a position of the stride."""
+    own = [F.expr(f"CASE WHEN size = {s} THEN transform(sequence(1, {_grams(s)[1]}), p -> xxhash64(slice(w, p, {_grams(s)[0]}))) ELSE array() END") for s in sizes]
+    seeds = materialize(windows.select(F.explode(F.concat(*own)).alias("g")).distinct(), "seeds")
+    strided = [F.expr(f"CASE WHEN size(_w) >= {s} THEN transform(sequence(1, size(_w) - {_grams(s)[0] - 1}, {_grams(s)[1]}), p -> xxhash64(slice(_w, p, {_grams(s)[0]}))) ELSE array() END") for s in sizes]
+    worded = docs.select(*_names(docs["text"]), words_of(docs["text"]).alias("_w"))
+    met = worded.select("_k1", "_k2", F.explode(F.array_distinct(F.concat(*strided))).alias("g")).join(_sent(seeds, BROADCAST_HASHES), "g", "left_semi")
+    return materialize(met.select("_k1", "_k2").distinct(), "suspects")
+
+
+def _verdicts(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """Written: _k1, _k2, n_hit, spans (first word and one past the last), items, of the texts in which windows occur."""
+    windows = materialize(item_windows(benchmark, n), "windows")
+    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # n numbers at most
+    none = "_k1 bigint, _k2 bigint, n_hit bigint, spans array<struct<start:int,stop:int>>, items array<string>"
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], none)
+    suspects = _suspects(docs, windows, sizes)
+    named = docs.select(*_names(docs["text"]), docs["text"].alias("_text"))
+    once = named.join(_sent(suspects, BROADCAST_HASHES), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first("_text").alias("_text"))
+    texts = materialize(once.select("_k1", "_k2", words_of(F.col("_text")).alias("_w")), "suspect-texts")
+    every = [F.expr(f"CASE WHEN size(_w) >= {s} THEN transform(sequence(1, size(_w) - {s - 1}), p -> named_struct('at', p, 'h', xxhash64(slice(_w, p, {s})), 'size', {s})) ELSE array() END") for s in sizes]
+    starts = texts.select("_k1", "_k2", F.inline(F.concat(*every)))
+    near = starts.join(_sent(windows.select("h", "size", "gram", "items"), BROADCAST_WINDOWS), ["h", "size"])
+    sure = near.join(texts, ["_k1", "_k2"]).where("array_join(slice(_w, at, size), ' ') = gram")
+    found = (
+        sure.groupBy("_k1", "_k2")
         .agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("found"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         .withColumn(
             "spans",
@@ -113,27 +102,25 @@ def _verdicts(rows: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
                 " ELSE concat(s, array(named_struct('start', x.at, 'stop', x.at + x.size))) END)"
             ),
         )
-        .select("_row", F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("n_hit"), "spans", "items")
     )
-
-
-def _judged(docs: DataFrame, held: Column, benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    windows = materialize(item_windows(benchmark, n), "windows")
-    n_windows = windows.count()
-    rows = _rows(docs, held, windows, n_windows)
-    return rows, _verdicts(rows, windows, n_windows)
+    return materialize(found.select("_k1", "_k2", F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("n_hit"), "spans", "items"), "verdicts")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def n_words_of(text: Column) -> Column:
+    """Normalised words of a text as a long; lower-casing changes none of their bounds."""
+    return F.coalesce(F.regexp_count(text, F.lit(ITEM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items, spans (1-based words), contaminated."""
-    rows, verdicts = _judged(docs, docs["doc_id"], benchmark, n)
-    none = F.lit(0).cast("long")
-    out = rows.select("_row", F.col("_held").alias("doc_id"), "n_words").join(verdicts, "_row", "left").drop("_row")
-    out = out.withColumn("n_hit", F.coalesce("n_hit", none)).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    verdicts = _verdicts(docs, benchmark, n)
+    named = docs.select("doc_id", n_words_of(docs["text"]).alias("n_words"), *_names(docs["text"]))
+    out = named.join(_sent(verdicts, BROADCAST_WINDOWS), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
 
 
@@ -144,21 +131,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, unit: str = "document",
     """
     if unit not in ("document", "span"):
         raise ValueError(f"unit: {unit}")
-    rows, verdicts = _judged(docs, F.struct(*[docs[c] for c in docs.columns]), benchmark, n)
-    suspect = rows.where(F.size("hits") > 0) if "_w" not in rows.columns else rows
-    joined = suspect.join(verdicts, "_row", "left")
-    plain = [F.col("_held").getField(c).alias(c) for c in docs.columns]
-    clean = rows.where("hits IS NULL OR size(hits) = 0").select(*plain) if "_w" not in rows.columns else None
+    verdicts = _verdicts(docs, benchmark, n)
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *_names(docs["text"]))
+    joined = held.join(_sent(verdicts.select("_k1", "_k2", "n_hit", "spans"), BROADCAST_WINDOWS), ["_k1", "_k2"], "left")
+    out = {c: F.col("_doc").getField(c) for c in docs.columns}
     if unit == "document":
-        kept = joined.where(~F.coalesce(contaminated(F.col("n_hit"), F.col("n_words")), F.lit(False))).select(*plain)
-    else:
-        pieces = joined.withColumn("_pieces", F.regexp_extract_all(F.col("_held.text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(0)))
-        pieces = pieces.withColumn("_tail", F.expr("substr(_held.text, length(array_join(_pieces, '')) + 1)"))
-        left = F.expr("array_join(filter(_pieces, (x, i) -> NOT exists(spans, s -> i + 1 >= s.start AND i + 1 < s.stop)), '')")
-        text = F.when(F.col("spans").isNull(), F.col("_held.text")).otherwise(F.concat(left, F.col("_tail")))
-        out = {c: F.col("_held").getField(c) for c in docs.columns}
-        out["text"] = F.col("_text")
-        if "n_chars" in out:
-            out["n_chars"] = F.when(F.col("spans").isNull(), out["n_chars"]).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
-        kept = pieces.withColumn("_text", text).select(*[v.alias(c) for c, v in out.items()])
-    return kept if clean is None else clean.unionByName(kept)
+        # words are counted only where there are hits
+        bad = F.when(F.col("n_hit") > 0, contaminated(F.col("n_hit"), n_words_of(F.col("_doc.text")))).otherwise(F.lit(False))
+        return joined.where(~bad).select(*[v.alias(c) for c, v in out.items()])
+    pieces = joined.withColumn("_pieces", F.regexp_extract_all(F.col("_doc.text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(0)))
+    pieces = pieces.withColumn("_tail", F.expr("substr(_doc.text, length(array_join(_pieces, '')) + 1)"))
+    left = F.expr("array_join(filter(_pieces, (x, i) -> NOT exists(spans, s -> i + 1 >= s.start AND i + 1 < s.stop)), '')")
+    pieces = pieces.withColumn("_text", F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(F.concat(left, F.col("_tail"))))
+    out["text"] = F.col("_text")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("spans").isNull(), out["n_chars"]).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return pieces.select(*[v.alias(c) for c, v in out.items()])

@@ -9,7 +9,8 @@ source, so a source that holds a third of all rows is never gathered anywhere.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is
 a source of its own, ordered last; rows with equal ids have equal keys, and if the cut
-falls on them each takes an equal share rounded down; an empty table gives no rows;
+falls on them all are filled up to one level, so short ones are taken whole and the words missing are fewer than
+the rows; a very long text is one row, taken in part if the cut falls on it; an empty table gives no rows;
 further columns of the input are kept by :func:`mixed_documents`.
 """
 
@@ -72,7 +73,7 @@ def mixing_cuts(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat
     """One row a source: (source, source_size, target, epochs, cut_key, share).
 
     sized has (source, key, size).  A document takes epochs times its size, its size again if its
-    key is below cut_key, and share words if its key is cut_key.
+    key is below cut_key, and up to share words if its key is cut_key.
     """
     bucketed = sized.withColumn("bucket", _bucket(F.col("key")))
     totals = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -96,14 +97,29 @@ def mixing_cuts(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat
         bucketed.alias("b")
         .join(at.alias("a"), F.col("b.source").eqNullSafe(F.col("a.source")) & (F.col("b.bucket") == F.col("a.bucket")))
         .groupBy("b.source", "b.key")
-        .agg(F.sum("b.size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("a.inside").alias("inside"))
+        .agg(F.sum("b.size").alias("words"), F.first("a.inside").alias("inside"))
         .withColumn("before", F.coalesce(F.sum("words").over(by_key), F.lit(0)))
         .where("before <= inside AND inside < before + words")
-        .select("source", F.col("key").alias("cut_key"), F.expr("(inside - before) div rows").alias("share"))
+        .select("source", F.col("key").alias("cut_key"), (F.col("inside") - F.col("before")).alias("rest"))
+    )
+    # rows at the cut key, of which there may be many, by their sizes: what shorter ones leave over goes to the longer
+    tied = (
+        bucketed.alias("b")
+        .join(cut.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")) & (F.col("b.key") == F.col("c.cut_key")))
+        .groupBy("c.source", "c.cut_key", "c.rest", "b.size")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    by_size = Window.partitionBy("source").orderBy("size")
+    shares = (
+        tied.withColumn("shorter", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("left", F.sum("rows").over(by_size.rowsBetween(0, Window.unboundedFollowing)))
+        .where("shorter + left * size > rest")
+        .groupBy("source", "cut_key")
+        .agg(F.min_by(F.expr("(rest - shorter) div left"), "size").alias("share"))
     )
     return (
         targets.alias("t")
-        .join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+        .join(shares.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
         .select("t.source", "t.source_size", "t.target", "t.epochs", "c.cut_key", F.coalesce("c.share", F.lit(0)).alias("share"))
     )
 

@@ -113,17 +113,21 @@ t AS (SELECT source, source_size,
         CASE WHEN first_ord IS NULL OR ord < first_ord THEN (3 * source_size)::DOUBLE
              ELSE (SELECT level FROM h h2 WHERE h2.ord = h.first_ord) * weight END AS target FROM h),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
-p AS (SELECT source, k, sum(size) AS words, count(*) AS n,
+p AS (SELECT source, k, sum(size) AS words,
         coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d GROUP BY source, k)
+      FROM d GROUP BY source, k),
+c AS (SELECT p.source, p.k, (floor(b.target + 0.5)::BIGINT - b.epochs * b.source_size - p.before)::BIGINT AS rest
+      FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
+      WHERE p.before <= floor(b.target + 0.5)::BIGINT - b.epochs * b.source_size AND floor(b.target + 0.5)::BIGINT - b.epochs * b.source_size < p.before + p.words),
+z AS (SELECT c.source, c.k, c.rest, d.size, count(*) AS n,
+        coalesce(sum(d.size * count(*)) OVER (PARTITION BY c.source ORDER BY d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shorter,
+        sum(count(*)) OVER (PARTITION BY c.source ORDER BY d.size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_rows
+      FROM c JOIN d ON c.source IS NOT DISTINCT FROM d.source AND c.k = d.k GROUP BY c.source, c.k, c.rest, d.size),
+v AS (SELECT source, k, min_by(((rest - shorter)::BIGINT // left_rows::BIGINT), size)::BIGINT AS share FROM z WHERE shorter + left_rows * size > rest GROUP BY source, k)
 SELECT d.doc_id, d.size, b.source_size, b.target,
-  (b.epochs * d.size + CASE
-     WHEN p.before + p.words <= floor(b.target + 0.5)::BIGINT - b.epochs * b.source_size THEN d.size
-     WHEN p.before < floor(b.target + 0.5)::BIGINT - b.epochs * b.source_size
-       THEN least(d.size, (floor(b.target + 0.5)::BIGINT - b.epochs * b.source_size - p.before)::BIGINT // p.n)
-     ELSE 0 END)::BIGINT AS taken
+  (b.epochs * d.size + CASE WHEN d.k < v.k THEN d.size WHEN d.k = v.k THEN least(d.size, v.share) ELSE 0 END)::BIGINT AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
-JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.k = d.k
+LEFT JOIN v ON v.source IS NOT DISTINCT FROM d.source
 """,
     "op3_decontaminate": r"""
 WITH d AS (

@@ -9,13 +9,16 @@ The first digit is chosen so that neighbours share it: the least of the hashed S
 inside the window (its minimizer).  Consecutive windows with one minimizer travel as one stretch of bytes,
 compressed, to the bucket of that minimizer, where the further digits are sorted: the
 minimizer itself, then eight bytes at a time.  Equal stretches within a map task are settled there: all
-but those of the least id are repeats.  A minimizer that very many documents hold is found in
-a first pass; its windows travel one by one, to buckets by all their bytes, so
-no bucket grows with a common passage.
+but those of the least id are repeats.  Minimizers of very many stretches are found in a first pass over
+all texts: a task reports those seeds of which it has its share, by bytes, of the bound or more, so a seed with more than
+twice the bound is always found, whatever the number of tasks, and one that is found has more than the bound.
+Windows of such seeds travel one by one, to buckets by all their bytes, so no bucket holds
+more of a seed than twice the bound and what one map task settles of one window.
 
 Defined cases: a null text is empty; a null doc_id is neither smaller nor larger than any,
 so its text stays and removes nothing; rows with equal ids don't remove from each other; repeated
-rows get equal results; an empty table gives no rows; further columns are not read.
+rows get equal results; a very long text is cut into stretches like any other; an empty table gives no rows; further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -37,10 +40,13 @@ DEPTH, SEED = 50, 16
 TEXT_AT_ONCE, BUCKET_BYTES = 8_000_000, 12_000_000
 #: Bytes of stretches for a byte of text (from 2 / (DEPTH - SEED + 2) stretches a byte).
 EXPANSION = 3.7
-#: A seed is common if it is the minimizer of more than COMMON stretches; a task tells of seeds with FEW or more of its own.
-COMMON, FEW = 20_000, 16
-#: Up to this many common seeds (8 bytes each) are sent to every task; more would take another path.
-COMMON_BOUND = 1_000_000
+#: Bytes of text for a stretch, at the least on average.
+STRETCH_BYTES = 16
+#: A seed is common if it is the minimizer of more than COMMON stretches and of more than one in COMMON_SEEDS of all stretches,
+#: so that there are fewer than COMMON_SEEDS of them (8 bytes each), which are sent to every task.
+COMMON, COMMON_SEEDS = 20_000, 4_000_000
+#: Windows that a task sorts together.
+WINDOWS_AT_ONCE = 4_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -105,12 +111,20 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
         yield sorted(held, key=lambda x: x[:2])
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in _grouped(batches):
-        seeds, counts = np.unique(np.concatenate([stretches(np.frombuffer(raw, np.uint8))[2] for _, _, raw in group]), return_counts=True)
-        often = counts >= FEW
+def _frequent(bound: int, total: int):
+    """Seeds, and their stretches in this task, if those are the task's share of the bound or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [np.empty(0, np.uint64)], 0
+        for group in _grouped(batches):
+            found += [stretches(np.frombuffer(raw, np.uint8))[2] for _, _, raw in group]
+            size += sum(len(raw) for _, _, raw in group)
+        seeds, counts = np.unique(np.concatenate(found), return_counts=True)
+        often = counts * total > bound * size
         yield pa.RecordBatch.from_arrays([pa.array(seeds[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["seed", "n"])
 
+    return run
+
 
 def _packed(doc_ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, data: bytes) -> bytes:
     columns = [np.diff(doc_ids, prepend=np.int64(0)).astype("<i8"), tags.astype("<u4"), starts.astype("<u4"), sizes.astype("<u4"), offsets.astype("<u4")]
@@ -202,10 +216,32 @@ def repeats(ids: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, data: np.nd
     halves = [_digit(data, begin + offsets + k, 8) for k in (0, 8)]
     at, group = _refined(None, (halves[0] * np.uint64(0x9E3779B97F4A7C15)) ^ (halves[1] * np.uint64(0xC2B2AE3D27D4EB4F)), ids)
     windows = sizes[at] - DEPTH + 1
-    stretch = np.repeat(at, windows)
-    inside = np.arange(len(stretch)) - np.repeat(np.cumsum(windows) - windows, windows)
+    found = []
+    # whole groups together, some million windows at once; a group of more is taken by the seed's places in the window
+    ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1 if len(group) else np.zeros(0, int)
+    upto, first = np.cumsum(windows), 0
+    while first < len(at):
+        done = upto[first - 1] if first else 0
+        last = int(ends[max(np.searchsorted(upto[ends - 1], done + WINDOWS_AT_ONCE, "right") - 1, np.searchsorted(ends, first, "right"))])
+        part, own, n = at[first:last], group[first:last], windows[first:last]
+        if n.sum() <= WINDOWS_AT_ONCE:
+            stretch = np.repeat(np.arange(len(part)), n)
+            inside = np.arange(len(stretch)) - np.repeat(np.cumsum(n) - n, n)
+            found.append(_deep(part[stretch], inside, own[stretch], ids, offsets, begin, data))
+        else:
+            for place in range(int(offsets[part].min()) - int(n.max()) + 1, int(offsets[part].max()) + 1):
+                inside = offsets[part] - place
+                held = (inside >= 0) & (inside < n)
+                found.append(_deep(part[held], inside[held], own[held], ids, offsets, begin, data))
+        first = last
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([s for s, _ in found]), np.concatenate([i for _, i in found])
+
+
+def _deep(stretch: np.ndarray, inside: np.ndarray, group: np.ndarray, ids: np.ndarray, offsets: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows in groups of one seed: those that also lie in a document with a smaller id."""
     # the seed's place in the window is a digit too: equal windows have it in common
-    group = np.repeat(group, windows)
     keep, group = _refined(group, (offsets[stretch] - inside).astype(np.uint64), ids[stretch])
     stretch, inside = stretch[keep], inside[keep]
     for k in range(0, DEPTH, 8):
@@ -259,11 +295,10 @@ def _removed_runs(docs: DataFrame, tag: Column) -> DataFrame:
     held = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     n_buckets = max(1, int(total * EXPANSION) // BUCKET_BYTES)
-    often = held.mapInArrow(_frequent, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON).select("seed")
-    found = [r["seed"] for r in often.limit(COMMON_BOUND + 1).collect()]
-    if len(found) > COMMON_BOUND:
-        raise ValueError("more common seeds than may be sent to every task: raise COMMON")
-    common = np.array(sorted(found), np.int64).view(np.uint64)
+    bound = max(COMMON, int(total / STRETCH_BYTES / COMMON_SEEDS))
+    often = held.mapInArrow(_frequent(bound, max(1, total)), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > bound).select("seed")
+    found = often.toArrow().column("seed").to_numpy()  # fewer than COMMON_SEEDS
+    common = np.sort(found.astype(np.int64).view(np.uint64))
     sent = held.mapInArrow(_sent(common, n_buckets), "bucket bigint, settled boolean, blob binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, "doc_id bigint, tag bigint, start bigint, stop bigint")
 

@@ -80,6 +80,15 @@ def test_mixing(docs, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_fills_up_tied_rows(spark):
+    rows = [(None, "a", "w") for _ in range(90)] + [(None, "a", "w " * 1000) for _ in range(10)] + [(k, "b", "w " * 100) for k in range(300)] + [(7, None, "w " * 50)] * 3
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for source in ("a", "b", None):
+        own = [r for r in got if r["source"] == source]
+        assert -0.5 <= own[0]["target"] - sum(r["taken"] for r in own) < len(own)
+        assert all(r["taken"] <= 3 * r["size"] for r in own)
+
+
 def test_token_store(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
@@ -161,9 +170,10 @@ def contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("bound", [65_536, 0])
+@pytest.mark.parametrize("bound", [200_000, 0])
 def test_decontamination(spark, docs, empty, monkeypatch, bound):
-    monkeypatch.setattr(decontam, "SET_BOUND", bound)
+    monkeypatch.setattr(decontam, "BROADCAST_HASHES", bound)
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", bound)
     text = {r[0]: r[1] for r in rows()}
     items = [(1, " ".join(text[3].split()[20:50]).upper()), (2, "a, b; c"), (30, " ".join(text[7].split()[5:18])), (4, None), (5, ""), (6, "Once upon a time there"), (30, "a b c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -181,6 +191,14 @@ def test_decontamination(spark, docs, empty, monkeypatch, bound):
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_many_windows(spark, docs):
+    text = {r[0]: r[1] for r in rows()}
+    rng = random.Random(9)
+    items = [(k, " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(400))) for k in range(12)] + [(999, text[8])]  # some thousand windows
+    found = decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in found) == contamination([(r[0], r[1]) for r in rows()], items)
+
+
 def test_url_filter(spark):
     urls = ["http://www.Example.NET/en/x?q#f", "https://a.net", "http://net/", "http://xnet/a", "https://b.example.com/de/1", "https://org/fr/", "https://a.b.org/fr", "no url", None, "x://", "http://example.net.evil/en/", "http://a.example.net/de/"]
     table = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x")], "page_id long, url string, host string")
@@ -191,7 +209,9 @@ def test_url_filter(spark):
         fits = [r for r in urlfilter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         best = max(fits, key=lambda r: len(r.host + r.path), default=None)
         assert got[i] == (host, path, best and best.host + best.path, best.verdict if best else "allow")
-    assert urlfilter.filter_urls(table, urlfilter.rule_table(spark), "page_id").columns == table.columns
+    kept = urlfilter.filter_urls(table.unionByName(spark.createDataFrame([(1, "http://org/fr/", "y")], table.schema)), urlfilter.rule_table(spark))
+    assert kept.columns == table.columns
+    assert Counter(r["url"] for r in kept.collect()) == Counter([u for i, u in enumerate(urls) if got[i][3] == "allow"] + [u for u in urls[:1] if got[0][3] == "allow"] + ["http://org/fr/"])
     assert urlfilter.judge_urls(table.limit(0), urlfilter.rule_table(spark), "page_id").count() == 0
     assert urlfilter.judge_urls(table, urlfilter.rule_table(spark).limit(0), "page_id").where("verdict <> 'allow'").count() == 0
 
@@ -203,13 +223,18 @@ def test_url_sweep_against_all_rules():
     for _ in range(200):
         rules = sorted({(key(h), rng.choice(["allow", "block"]), h, p) for h, p in ((".".join(label() for _ in range(rng.randint(1, 3))), "/" + label() * rng.randint(0, 2)) for _ in range(6))})
         urls = sorted((key(h), h, p) for h, p in ((".".join(label() for _ in range(rng.randint(1, 4))), "/" + label() * rng.randint(0, 3)) for _ in range(20)))
-        got = urlfilter._sweep([u[0] for u in urls], [u[1] for u in urls], [u[2] for u in urls], rules)
-        for (_, host, path), at in zip(urls, got):
-            fits = [(len(h) + len(p), len(h), v == "block") for _, v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-            assert (at < 0) == (not fits)
-            if fits:
-                _, v, h, p = rules[at]
-                assert (len(h) + len(p), len(h), v == "block") == max(fits)
+        got = urlfilter._sweep([u[0] for u in urls], [u[1] for u in urls], [u[2] for u in urls], urlfilter._hosts(rules))
+        for (_, host, path), won in zip(urls, got):
+            fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for _, v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            assert won == (max(fits)[3:] if fits else None)
+
+
+def test_url_filter_of_a_host_with_many_rules(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "URLS_A_RANGE", 500)
+    rules = [urlfilter.Rule("block" if k % 3 else "allow", "big.example.org", f"/{k}/") for k in range(100_000)] + [urlfilter.Rule("block", "example.org", "/77")]
+    urls = [(k, f"http://{'sub.' * (k % 2)}big.example.org/{k * 37}/x") for k in range(2_000)] + [(5_000, "http://example.org/77"), (5_001, "http://other.org/77/")]
+    got = {r["page_id"]: r["rule"] for r in urlfilter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), urlfilter.rule_table(spark, rules), "page_id").collect()}
+    assert got == {k: f"big.example.org/{k * 37}/" for k in range(2_000)} | {5_000: "example.org/77", 5_001: None}
 
 
 def test_token_counts(docs, empty):
@@ -521,14 +546,33 @@ def cut(docs):
     return out
 
 
-@pytest.mark.parametrize("common", [20_000, 2])
-def test_substrings(docs, empty, monkeypatch, common):
+@pytest.mark.parametrize("common, at_once", [(20_000, 4_000_000), (2, 4_000_000), (20_000, 7)])
+def test_substrings(docs, empty, monkeypatch, common, at_once):
     monkeypatch.setattr(substrings, "COMMON", common)
-    monkeypatch.setattr(substrings, "FEW", 2)
+    monkeypatch.setattr(substrings, "WINDOWS_AT_ONCE", at_once)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 50_000)
     got = Counter(tuple(r)[:5] for r in substrings.cut_repeats(docs).collect())
     assert got == cut([(r[0], r[1]) for r in rows()])
-    assert substrings.cut_repeats(empty).count() == 0
+    if common == 2:
+        assert substrings.cut_repeats(empty).count() == 0
+
+
+def test_common_seeds_are_found_however_they_are_spread():
+    shared = prose(1, 40)
+    tasks = [[(i, 0, f"{prose(1000 + i, 3 * i + 10)} {shared}") for i in range(20 * t, 20 * t + 20)] for t in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "tag", "text"]) for rows in tasks]
+    counts = Counter()
+    for rows in tasks:
+        for _, _, text in rows:
+            counts.update(substrings.stretches(np.frombuffer(text.encode(), np.uint8))[2].view(np.int64).tolist())
+    total, bound = sum(len(t.encode()) for rows in tasks for _, _, t in rows), 200
+    found = Counter()
+    for batch in batches:  # each holds every shared seed but a few times
+        for out in substrings._frequent(bound, total)(iter([batch])):
+            found.update(dict(zip(out.column("seed").to_pylist(), out.column("n").to_pylist())))
+    common = {s for s, n in found.items() if n > bound}
+    assert {s for s, n in counts.items() if n > 2 * bound} <= common <= {s for s, n in counts.items() if n > bound}
+    assert common
 
 
 def test_language_network_gradients():
