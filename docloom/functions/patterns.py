@@ -15,6 +15,28 @@ SYNTAXES, CASES = ("literal", "regex"), ("insensitive", "sensitive", "smart")
 _REFUSED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|[*+?}]\+")
 
 
+def nests_repeats(pattern: str) -> bool:
+    """Whether an unbounded repeat stands around another, which a backtracking matcher may take exponential time for."""
+    bare = re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]", "x", re.sub(r"\\.", "x", pattern, flags=re.S))
+    groups = [False]  # whether each open group holds an unbounded repeat
+    closed = False  # whether the last item was such a group
+    for part in re.finditer(r"\((?:\?[^:)]*:)?|\)|[*+]|\{\d*,\d*\}|.", bare, re.S):
+        token = part[0]
+        if token[0] == "(":
+            groups.append(False)
+            closed = False
+        elif token == ")" and len(groups) > 1:
+            closed = groups.pop()
+            groups[-1] |= closed
+        elif token in "*+" or token[0] == "{" and token.endswith(",}"):
+            if closed:
+                return True
+            groups[-1] = True
+        else:
+            closed = False
+    return False
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A checked pattern; `java` is its Java spelling with all flags."""
@@ -35,6 +57,8 @@ class Pattern:
             bare = re.sub(r"\\\\", "", self.text)
             if _REFUSED.search(bare):
                 raise RequestError("InvalidPattern", "look-around and back-references are not supported")
+            if nests_repeats(self.text):
+                raise RequestError("InvalidPattern", "repeats without an end may not stand in each other")
             try:
                 found = re.compile(re.sub(r"\\[pP](?:\{[^}]*\}|\w)|\\[zZAhHR]", ".", self.text))
             except re.error as e:

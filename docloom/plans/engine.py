@@ -132,7 +132,13 @@ class Engine:
     def search(self, selector: str, pattern: str, syntax: str = "literal", case: str = "insensitive", word: bool = False, context_lines: int = 0, limit: int = 100, offset: int = 0) -> DataFrame:
         query = search.SearchQuery(Pattern(pattern, syntax, case, word), "markdown", context_lines, limit, offset)
         parsed = self._one(self.resolve(selector))
-        return search.page(self._hits(parsed, query.pattern), query.limit, query.offset)
+        rows = search.page(self._hits(parsed, query.pattern), query.limit, query.offset)
+        if not query.context_lines:
+            return rows
+        lines = search.line_index(parsed.documents.select("doc_key", F.col("markdown").alias("text"))).withColumn("text", strip_anchors(F.col("text")))
+        around = search.context(rows, lines, query.context_lines).groupBy("doc_key", "ordinal")
+        around = around.agg(F.sort_array(F.collect_list(F.struct("line_no", "text", "matched"))).alias("context"))
+        return rows.join(around, ["doc_key", "ordinal"], "left").orderBy("position")
 
     @cached_property
     def references(self) -> DataFrame:

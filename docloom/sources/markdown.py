@@ -451,7 +451,7 @@ class Rendered:
 
 
 def render(parsed: Parsed, label: str) -> Rendered:
-    """One deterministic text with the byte range of every node; a section ends where the next begins."""
+    """One deterministic text with the byte range of every node; that of a section spans its subsections."""
     parts: list[tuple[str | None, str]] = [(None, f"# {parsed.title or label}")]
     sections = [n for n in parsed.nodes if n.kind == "document-section"]
     by_owner: dict[str, list[Block]] = {}
@@ -478,5 +478,10 @@ def render(parsed: Parsed, label: str) -> Rendered:
                 ranges.append((entries[m[1]].path, begin, stop))
         out.append(text)
         at += size + 2
+    for path, (_, stop) in list(spans.items()):
+        while "." in path:
+            path = path.rsplit(".", 1)[0]
+            if path in spans:
+                spans[path] = (spans[path][0], max(stop, spans[path][1]))
     ranges += [(p, a, b) for p, (a, b) in spans.items()]
     return Rendered("\n\n".join(out) + "\n", sorted(ranges, key=lambda r: (r[1], -r[2])))

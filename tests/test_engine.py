@@ -16,9 +16,9 @@ from docloom.schema import RequestError, ResolutionError
 from docloom.sources import markdown, roff, tldr, trees
 
 LINKED = {
-    "alpha": "# Alpha\n\nSee [b](beta.md).\n\nneedle alpha\n\n## Options\n\n- `--shared`, `-S`: first\n- `--only`: one\n",
-    "beta": "# Beta\n\nGo to [c](gamma.md).\n\nneedle beta\n\n## Options\n\n- `--shared`: second\n",
-    "gamma": "# Gamma\n\nBack to [a](alpha.md).\n\nneedle gamma\n",
+    "harbour": "# Harbour\n\nShips wait, then sail to the [strait](strait.md).\n\nThe tide bell rings at noon.\n\n## Signals\n\n- `--lamp`, `-L`: light the lamp\n- `--flag`: raise a flag\n\n### At night\n\nOnly lamps are seen.\n",
+    "strait": "# Strait\n\nBeyond lies the [island](island.md).\n\nA tide bell warns of rocks.\n\n## Signals\n\n- `--lamp`: answer a lamp\n",
+    "island": "# Island\n\nBoats return to the [harbour](harbour.md).\n\nNo tide bell is heard here.\n",
 }
 
 
@@ -32,37 +32,48 @@ def keys(df):
 
 
 def test_scope_closure(engine):
-    found = engine.scope(["alpha"], follow_links=True)
-    assert keys(found.documents) == ["alpha", "beta", "gamma"] and found.frontier.count() == 0 and found.edges.count() == 3
-    rows = engine.scope_search(found, "needle").collect()
+    found = engine.scope(["harbour"], follow_links=True)
+    assert keys(found.documents) == ["harbour", "strait", "island"] and found.frontier.count() == 0 and found.edges.count() == 3
+    rows = engine.scope_search(found, "tide bell").collect()
     assert [r["total"] for r in rows] == [3, 3, 3] and [r["node"] for r in rows] == ["root"] * 3
-    none = engine.scope(["alpha"], follow_links=True, max_depth=0)
-    assert [(r["to_key"], r["reason"]) for r in none.frontier.collect()] == [("documents/beta", "max-depth")]
-    two = engine.scope(["alpha"], follow_links=True, max_documents=2)
-    assert [(r["to_key"], r["reason"]) for r in two.frontier.collect()] == [("documents/gamma", "max-documents")]
-    both = engine.scope(["beta", "alpha"])
-    assert [(r["doc_key"], r["n_choices"]) for r in engine.scope_explain(both, "--shared").collect()] == [("documents/beta", 1), ("documents/alpha", 1)]
+    none = engine.scope(["harbour"], follow_links=True, max_depth=0)
+    assert [(r["to_key"], r["reason"]) for r in none.frontier.collect()] == [("documents/strait", "max-depth")]
+    two = engine.scope(["harbour"], follow_links=True, max_documents=2)
+    assert [(r["to_key"], r["reason"]) for r in two.frontier.collect()] == [("documents/island", "max-documents")]
+    both = engine.scope(["strait", "harbour"])
+    assert [(r["doc_key"], r["n_choices"]) for r in engine.scope_explain(both, "--lamp").collect()] == [("documents/strait", 1), ("documents/harbour", 1)]
 
 
 def test_views(engine):
-    assert engine.read("alpha", ["-S", "1"]).startswith('*Outline 1*\n\n<a id="options"></a>\n## Options')
-    assert "--shared" in engine.explain("alpha", "shared")
-    assert "`1/e2` (`option-only`) --only" in engine.outline_markdown("alpha")
-    hit = engine.search("alpha", "first").first()
+    assert engine.read("harbour", ["-L", "1"]).startswith('*Outline 1*\n\n<a id="signals"></a>\n## Signals')
+    assert "Only lamps are seen." in engine.read("harbour", ["1"]) and "Only lamps are seen." in engine.read("harbour", ["1", "1.1"])
+    around = engine.search("harbour", "raise", context_lines=1).first()["context"]
+    assert [r["matched"] for r in around] in ([False, True], [False, True, False]) and "--lamp" in around[0]["text"]
+    assert "--lamp" in engine.explain("harbour", "lamp")
+    assert "`1/e2` (`option-flag`) --flag" in engine.outline_markdown("harbour")
+    hit = engine.search("harbour", "light the").first()
     assert hit["node"] == "1/e1" and hit["total"] == 1
-    assert engine.search("alpha", "Alpha", case="sensitive").count() == 0  # the title owns nothing
-    for call, code in ((lambda: engine.explain("alpha", "needle"), "SelectorFoundOnlyInText"), (lambda: engine.explain("alpha", "1"), "ExplanationRequiresEntry"), (lambda: engine.read("alpha", ["nothing"]), "UnknownSelector"), (lambda: engine.full("delta"), "NotFound")):
+    assert engine.search("harbour", "Harbour", case="sensitive").count() == 0  # the title owns nothing
+    for call, code in ((lambda: engine.explain("harbour", "tide bell"), "SelectorFoundOnlyInText"), (lambda: engine.explain("harbour", "1"), "ExplanationRequiresEntry"), (lambda: engine.read("harbour", ["nothing"]), "UnknownSelector"), (lambda: engine.full("delta"), "NotFound")):
         with pytest.raises(ResolutionError) as e:
             call()
         assert e.value.code == code
-    assert engine.request(json.dumps({"input": {"selector": "beta"}, "view": {"kind": "full"}})).startswith("# Beta")
+    assert engine.request(json.dumps({"input": {"selector": "strait"}, "view": {"kind": "full"}})).startswith("# Strait")
     with pytest.raises(RequestError):
-        engine.request('{"input": {"selector": "beta"}, "view": {"kind": "full", "x": 1}}')
+        engine.request('{"input": {"selector": "strait"}, "view": {"kind": "full", "x": 1}}')
     assert engine.page("abcdef", 2, 3) == "[page chars=2..5 totalChars=6 nextChar=5]\ncde"
-    assert [r["logical_path"] for r in engine.find(pattern="a", limit=5).collect()] == ["alpha", "beta", "gamma"]
+    assert [r["logical_path"] for r in engine.find(pattern="a", limit=5).collect()] == ["harbour", "island", "strait"]
     assert engine.doctor().first()["outcome"] == "healthy"
 
 
+def test_patterns_that_could_run_away_are_refused():
+    for text in ("(a+)+$", "((a|b)*c)+", "(?:x{2,})*"):
+        with pytest.raises(RequestError):
+            Pattern(text, "regex")
+    for text in ("(ab)+", "[(a+)]+", r"\(a+\)+", "(a+)?b"):
+        assert Pattern(text, "regex").java
+
+
 def test_requests_are_checked_first():
     for bad in (dict(pattern=""), dict(limit=0), dict(source="a", manual_section="1"), dict(pattern="a(?=b)", syntax="regex"), dict(pattern="a*", syntax="regex"), dict(pattern="x" * 5000)):
         with pytest.raises(RequestError):
