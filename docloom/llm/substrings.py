@@ -46,7 +46,7 @@ STRETCH_BYTES = 16
 #: so that there are fewer than COMMON_SEEDS of them (8 bytes each), which are sent to every task.
 COMMON, COMMON_SEEDS = 20_000, 4_000_000
 #: Windows that a task sorts together.
-WINDOWS_AT_ONCE = 4_000_000
+WINDOWS_AT_ONCE = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
