@@ -31,10 +31,28 @@ def _mark(links: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def contracted(links: DataFrame, rounds: int) -> DataFrame:
+    """Links with the same components, nearer to stars, after so many rounds; a larger node comes as a, a smaller one as b."""
+    now = materialize(_ordered(links), "links")
+    for _ in range(rounds):
+        then = materialize(_small_star(_large_star(now)), "links")
+        drop_scratch(now)
+        now = then
+    return now
+
+
+def neighbours(links: DataFrame) -> DataFrame:
+    """From contracted links: node and root, some smaller node of its component; nodes with one root are connected, connected ones may differ in it."""
+    return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b), in any direction: node and root, the smallest node of its component, for all nodes but roots."""
-    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(ordered, "links")
+    now = materialize(_ordered(links), "links")
     mark = _mark(now)
     while True:
         then = materialize(_small_star(_large_star(now)), "links")
