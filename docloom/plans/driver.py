@@ -364,21 +364,21 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.duplicate_ids(rows)
 
 
-@_register("dangling_links", "SELECT o_custkey % 100 AS doc_key, o_orderkey AS ord, 'c' || o_custkey AS target_id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 100 = o_custkey % 100 AND 'c' || c_custkey = 'c' || o_custkey AND c_nationkey < 12)")
+@_register("dangling_links", "SELECT o_custkey % 100 AS doc_key, o_orderkey AS ord, 'c' || (o_custkey + o_orderkey % 3 * 100) AS target_id FROM orders WHERE o_custkey + o_orderkey % 3 * 100 NOT IN (SELECT c_custkey FROM customer)")
 def _dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc_key"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("target_id"), F.lit("section").alias("kind"))
-    nodes = _read(spark, sf_dir, "customer").where("c_nationkey < 12").select((F.col("c_custkey") % 100).alias("doc_key"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    links = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc_key"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), (F.col("o_custkey") + F.col("o_orderkey") % 3 * 100).cast("string")).alias("target_id"), F.lit("section").alias("kind"))
+    nodes = _read(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("doc_key"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
     return outline.dangling_links(links, nodes).select("doc_key", "ord", "target_id")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.octet_length("text").cast("long").alias("n_bytes"), "doc_id", "n_chars")
-    to = F.array(F.col("n_chars") % 1000, (F.col("doc_id") * 7 + 1) % 1000)
+    to = F.array(F.col("doc_id") * 2 + F.col("n_chars") % 2, F.expr("doc_id div 3"))
     links = docs.select(F.col("doc_key").alias("from_key"), F.posexplode(to).alias("link_ord", "to")).select("from_key", F.col("to").cast("string").alias("to_key"), F.lit("document").alias("kind"), "link_ord")
     return docs.select("doc_key", "n_bytes"), links
 
 
-_SQL_LINKS = """WITH RECURSIVE l AS (SELECT doc_id AS f, n_chars % 1000 AS t FROM documents UNION SELECT doc_id, (doc_id * 7 + 1) % 1000 FROM documents),
+_SQL_LINKS = """WITH RECURSIVE l AS (SELECT doc_id AS f, doc_id * 2 + n_chars % 2 AS t FROM documents UNION SELECT doc_id, doc_id // 3 FROM documents),
 """
 
 
@@ -442,15 +442,17 @@ def _doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.summary(checks)
 
 
-_SQL_SOURCES = """WITH c AS (SELECT DISTINCT source AS name, 'f' || (length(source) % 2) AS fingerprint FROM documents WHERE doc_id % 20 < 14), i AS (SELECT DISTINCT source AS name, 'f' || (doc_id % 20 % 2) AS fingerprint FROM documents WHERE doc_id % 20 >= 6 AND source = 'src' || doc_id % 20)
+_SQL_SOURCES = """WITH a AS (SELECT source AS name, sum(n_chars)::BIGINT % 4 AS k FROM documents WHERE source IS NOT NULL GROUP BY source),
+  c AS (SELECT name, 'f' || (k % 2) AS fingerprint FROM a WHERE k <> 0), i AS (SELECT name, 'f' || (k // 2) AS fingerprint FROM a WHERE k <> 1)
 """
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _read(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 20
-    configured = docs.where(k < 14).select(F.col("source").alias("name"), F.concat(F.lit("f"), (F.length("source") % 2).cast("string")).alias("fingerprint")).distinct()
-    installed = docs.where((k >= 6) & (F.col("source") == F.concat(F.lit("src"), k.cast("string")))).select(F.col("source").alias("name"), F.concat(F.lit("f"), (k % 2).cast("string")).alias("fingerprint")).distinct()
+    """Configured and installed sources: what all documents of a source sum up to tells which lists it is in."""
+    k = F.col("k")
+    found = _read(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("name")).agg((F.sum("n_chars") % 4).alias("k"))
+    configured = found.where(k != 0).select("name", F.concat(F.lit("f"), (k % 2).cast("string")).alias("fingerprint"))
+    installed = found.where(k != 1).select("name", F.concat(F.lit("f"), F.expr("k div 2").cast("string")).alias("fingerprint"))
     return configured, installed
 
 
@@ -501,13 +503,13 @@ def _markdown_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register("markdown_excerpts", """SELECT conv_id::VARCHAR AS doc_key, n::VARCHAR AS path, '*Outline ' || n || '*' || chr(10) || chr(10) || '<a id="' || id || '"></a>' || chr(10) || '## ' || role || chr(10) || chr(10) || '- <a id="option-turn-' || turn || '"></a>`--turn-' || turn || '`: the turn' || chr(10) || chr(10) || 'license ' || turn AS text
-  FROM (SELECT *, role || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)) WHERE n = 2""")
+  FROM (SELECT *, role || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations))""")
 def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.plans import render
     from docloom.plans.index import index
 
     parsed = index(_conversation_markdown(spark, sf_dir))
-    return render.excerpt_markdown(parsed.nodes.where("path = '2'"), parsed.documents).select("doc_key", "path", "text")
+    return render.excerpt_markdown(parsed.nodes.where("kind = 'document-section'"), parsed.documents).select("doc_key", "path", "text")
 
 
 @_register("manual_outline", """SELECT conv_id::VARCHAR AS doc_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR AS path, role || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, upper(role) AS title FROM conversations""")
