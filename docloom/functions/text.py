@@ -54,6 +54,23 @@ def html_attribute(value: Column) -> Column:
     return value
 
 
+def escape_markdown(value: Column) -> Column:
+    """Prose that CommonMark reads back as it is; an underscore inside a word needs no escape."""
+    word = r"[\p{IsAlphabetic}\p{N}]"
+    out = F.regexp_replace(F.replace(value, F.lit("&"), F.lit("&amp;")), r"([\\`*\[\]<>$])", r"\\$1")
+    return F.regexp_replace(out, rf"(?<!{word})_|_(?!{word})", r"\\_")
+
+
+def link_target(value: Column) -> Column:
+    """The target of a link in parentheses: these are escaped, blanks become %20."""
+    return F.replace(F.regexp_replace(value, r"([\\()])", r"\\$1"), F.lit(" "), F.lit("%20"))
+
+
+def content_fingerprint(value: Column) -> Column:
+    """SHA-256 of the bytes, in lower-case hex; null stays null."""
+    return F.sha2(value.cast("binary"), 256)
+
+
 def html_anchor(id_: Column) -> Column:
     return F.concat(F.lit('<a id="'), html_attribute(id_), F.lit('"></a>'))
 

@@ -31,6 +31,44 @@ def plan(policy: Policy, has_section: bool) -> tuple[str, str]:
     return "any", "optional"
 
 
+# Page folders of quick references, in the order in which they are tried, and Windows' command suffixes.
+TLDR_PLATFORMS = ("common", "linux", "osx", "macos", "windows", "android", "freebsd", "openbsd", "netbsd", "sunos", "cisco-ios", "dos")
+HOST_PLATFORMS = {"linux": ("linux",), "macos": ("osx", "macos"), "windows": ("windows",)}
+COMMAND_SUFFIXES = ".COM;.EXE;.BAT;.CMD"
+
+
+def tldr_platforms(host: str) -> list[str]:
+    """The host's own folders first, then all others."""
+    return list(dict.fromkeys((*HOST_PLATFORMS[host], *TLDR_PLATFORMS)))
+
+
+def tldr_languages(environment: dict[str, str]) -> list[str]:
+    """Languages by preference, region before language, English last; LANGUAGE counts only where LANG names a language."""
+    lang = environment.get("LANG")
+    wanted = [] if lang in (None, "C", "POSIX") else [*environment.get("LANGUAGE", "").split(":"), lang]
+    names = [w.split(".")[0].replace("-", "_") for w in wanted]
+    both = [x for n in names if n not in ("", "C", "POSIX") for x in (n, n.split("_")[0])]
+    return list(dict.fromkeys([*both, "en"]))
+
+
+def command_suffixes(pathext: str | None = None) -> list[str]:
+    """Suffixes of a PATHEXT, each with its dot, whatever its case once; the usual ones if it is blank."""
+    given = pathext if pathext and pathext.strip() else COMMAND_SUFFIXES
+    out: dict[str, str] = {}
+    for suffix in map(str.strip, given.split(";")):
+        if suffix and "/" not in suffix and "\\" not in suffix:
+            dotted = suffix if suffix.startswith(".") else f".{suffix}"
+            out.setdefault(dotted.lower(), dotted)
+    return list(out.values())
+
+
+def host_names(names: DataFrame, suffixes: list[str]) -> DataFrame:
+    """Rows (selector, name) with all spellings by order, cand_ord: the name itself, then with each suffix if it has none of its own."""
+    own = F.col("name").rlike(r"[^/\\]\.[^./\\]*$") & ~F.col("name").rlike(r"(^|[/\\])\.\.$")
+    more = F.transform(F.array(*map(F.lit, suffixes)).cast("array<string>"), lambda x: F.concat("name", x))
+    return names.select("selector", F.posexplode(F.when(own, F.array("name")).otherwise(F.concat(F.array("name"), more))).alias("cand_ord", "name"))
+
+
 def is_manual_section(value: Column) -> Column:
     return value.rlike(SECTION)
 
@@ -90,13 +128,19 @@ def attach_tldr(documents: DataFrame, tldr: DataFrame) -> DataFrame:
 
 
 def tldr_page(cached: DataFrame, topic: str, platforms: list[str], languages: list[str]) -> DataFrame:
-    """The first cached page by platform, then language, then cache, then folder."""
+    """The first cached page of a topic by platform, then language, then cache, then folder."""
     normal = "-".join(topic.strip().lower().split())
     if not normal or "/" in normal or "\\" in normal or normal in (".", ".."):
         raise RequestError("TldrNotFound", f"not a page name: {topic!r}")
+    return tldr_pages(cached.where(F.col("topic") == normal), platforms, languages)
+
+
+def tldr_pages(cached: DataFrame, platforms: list[str], languages: list[str]) -> DataFrame:
+    """The first cached page of every topic, by one aggregate with partial results; other platforms and languages answer nothing."""
     rank = lambda column, values: F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(column)), F.lit(0))
-    rows = cached.where(F.col("topic") == normal).withColumn("_p", rank("platform", platforms)).withColumn("_l", rank("language", languages))
-    return rows.where("_p IS NOT NULL AND _l IS NOT NULL").orderBy("_p", "_l", "cache_ord", "dir_ord").limit(1).drop("_p", "_l")
+    rows = cached.select(F.struct(*[cached[c] for c in cached.columns]).alias("_page"), "topic", F.struct(rank("platform", platforms).alias("p"), rank("language", languages).alias("l"), "cache_ord", "dir_ord").alias("_at"))
+    best = rows.where("_at.p IS NOT NULL AND _at.l IS NOT NULL").groupBy("topic").agg(F.min_by("_page", "_at").alias("_page"))
+    return best.select(*[F.col("_page").getField(c).alias(c) for c in cached.columns])
 
 
 def alias_chain(edges: DataFrame, max_hops: int = 16) -> DataFrame:

@@ -432,6 +432,47 @@ def _sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", T.sanitize_terminal(F.col("text")).alias("shown"))
 
 
+@_register("escape_markdown", r"""WITH e AS (SELECT doc_id, regexp_replace(replace(text, '&', '&amp;'), '([\\`*\[\]<>$_])', '\\\1', 'g') AS t FROM documents),
+  w AS (SELECT doc_id, regexp_replace(t, '([\pL\pN])\\_([\pL\pN])', '\1_\2', 'g') AS t FROM e)
+  SELECT doc_id, regexp_replace(t, '([\pL\pN])\\_([\pL\pN])', '\1_\2', 'g') AS escaped FROM w""")
+def _escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", T.escape_markdown(F.col("text")).alias("escaped"))
+
+
+@_register("link_targets", r"""SELECT p_partkey, replace(regexp_replace(p_name || '(' || p_size || ')', '([\\()])', '\\\1', 'g'), ' ', '%20') AS target FROM part""")
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", T.link_target(F.concat("p_name", F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).alias("target"))
+
+
+@_register("content_fingerprints", "SELECT doc_id, sha256(text) AS fingerprint FROM documents")
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", T.content_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+_SQL_HOST_NAMES = """WITH n AS (SELECT p_partkey AS selector, p_name || CASE p_partkey % 3 WHEN 0 THEN '.md' ELSE '' END AS name FROM part)
+  SELECT selector, 0 AS cand_ord, name FROM n UNION ALL
+  SELECT selector, k, name || CASE k WHEN 1 THEN '.EXE' ELSE '.bat' END FROM n, (VALUES (1), (2)) x(k) WHERE selector % 3 <> 0"""
+
+
+@_register("host_names", _SQL_HOST_NAMES)
+def _host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ".md").otherwise(""))
+    names = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("selector"), name.alias("name"))
+    return resolve.host_names(names, resolve.command_suffixes(".EXE; bat;.exe;a/b"))
+
+
+@_register("tldr_pages", """SELECT topic, platform, language, url FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY list_position(['linux', 'common', 'osx'], platform), list_position(['fr_CA', 'fr', 'en'], language), page_id % 2) AS place FROM (
+  SELECT page_id, page_id // 8 AS topic, ['linux', 'common', 'osx', 'plan9'][page_id % 4 + 1] AS platform, ['en', 'fr', 'de'][page_id % 3 + 1] AS language, url FROM pages) WHERE platform <> 'plan9' AND language <> 'de') WHERE place = 1""")
+def _tldr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    cached = _read(spark, sf_dir, "pages").select(
+        F.expr("page_id div 8").alias("topic"), pick(["linux", "common", "osx", "plan9"], 4).alias("platform"), pick(["en", "fr", "de"], 3).alias("language"),
+        (F.col("page_id") % 2).alias("cache_ord"), F.lit(0).alias("dir_ord"), "url",
+    )
+    languages = resolve.tldr_languages({"LANG": "fr_CA.UTF-8"})
+    return resolve.tldr_pages(cached, resolve.tldr_platforms("linux"), languages).select("topic", "platform", "language", "url")
+
+
 @_register("doctor_summary", """WITH c AS (SELECT event_type AS code, CASE WHEN sum(value) > 3 * count(*) * avg(value) / 2 THEN 'error' WHEN max(user_id) % 2 = 0 THEN 'warning' ELSE 'ok' END AS status FROM events GROUP BY event_type)
   SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'warning') AS warnings, count(*) FILTER (status = 'error') AS errors,
   CASE WHEN bool_or(status = 'error') THEN 'error' WHEN bool_or(status = 'warning') THEN 'warning' ELSE 'healthy' END AS outcome FROM c""")

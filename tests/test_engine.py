@@ -194,3 +194,29 @@ def test_all_names_are_resolved(spark, tmp_path):
     found = {r["selector"]: (r["winner"], r["n_choices"]) for r in QUERIES["resolve_all_names"](spark, str(tmp_path)).collect()}
     # hosts of 5 and 6 letters have priorities 1 and -1: manuals come between
     assert found == {"5": ("documents/en/5", 1), "9992": ("sources/b.org/en/9992", 1), "x": ("sources/b.org/fr/x", 1), "7001": ("sources/b.org/de/9992/7001", 1), "src1": ("manual/1/src1", 1)}
+
+
+def test_preferences_and_spellings(spark):
+    from docloom.operators import resolve
+
+    assert resolve.tldr_languages({"LANG": "fr-CA.UTF-8", "LANGUAGE": "de:C::pt_BR"}) == ["de", "pt_BR", "pt", "fr_CA", "fr", "en"]
+    assert resolve.tldr_languages({"LANGUAGE": "de"}) == resolve.tldr_languages({"LANG": "C", "LANGUAGE": "de"}) == ["en"]
+    assert resolve.tldr_platforms("macos")[:4] == ["osx", "macos", "common", "linux"]
+    assert len(set(resolve.tldr_platforms("linux"))) == len(resolve.tldr_platforms("linux")) == 12
+    assert resolve.command_suffixes(" ") == [".COM", ".EXE", ".BAT", ".CMD"]
+    assert resolve.command_suffixes(".EXE; bat;.exe;a/b;") == [".EXE", ".bat"]
+    names = spark.createDataFrame([(n, n) for n in ("git", "a.md", "..", ".rc", "v1.2/git")], "selector string, name string")
+    found = {}
+    for r in resolve.host_names(names, [".EXE"]).orderBy("cand_ord").collect():
+        found.setdefault(r["selector"], []).append(r["name"])
+    assert found == {"git": ["git", "git.EXE"], "a.md": ["a.md"], "..": ["..", "...EXE"], ".rc": [".rc", ".rc.EXE"], "v1.2/git": ["v1.2/git", "v1.2/git.EXE"]}
+
+
+def test_escapes(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.functions import text as T
+
+    rows = [(r"a_b_c _d_ \ `x` *y* [z](w) <&amp;> $1", "a b(c)\\"), (None, None), ("", "")]
+    got = spark.createDataFrame(rows, "t string, u string").select(T.escape_markdown(F.col("t")), T.link_target(F.col("u"))).collect()
+    assert [tuple(r) for r in got] == [(r"a_b_c \_d\_ \\ \`x\` \*y\* \[z\](w) \<&amp;amp;\> \$1", r"a%20b\(c\)" + "\\\\"), (None, None), ("", "")]
