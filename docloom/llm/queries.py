@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, htmltext, langid, mixing, quality, simhash, substrings, tokencount, tokenstore, urlfilter
+from docloom.llm import decontam, htmltext, langid, mixing, quality, resample, simhash, substrings, tokencount, tokenstore, urlfilter
 from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -81,6 +81,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs.select("doc_id", "text", "lang")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw a quarter of all documents towards the benchmark's word runs."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 SQL: dict[str, str] = {
@@ -156,5 +163,31 @@ f AS (SELECT u.*, rule_host || rule_path AS rule, verdict,
         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
       FROM u LEFT JOIN r ON (u.host = rule_host OR ends_with(u.host, '.' || rule_host)) AND starts_with(u.path, rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE place = 1
+""",
+    "op11_importance_resampling": r"""
+WITH d AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (
+  SELECT side, r, unnest(w) AS f FROM d
+  UNION ALL SELECT side, r, w[p] || ' ' || w[p + 1] FROM d, unnest(range(1, len(w))) t(p)),
+g AS (SELECT side, r, f, count(*) AS n FROM f GROUP BY ALL),
+tab AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, range) ORDER BY range) AS tab FROM range(256)),
+u AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM g)),
+c AS (
+  SELECT f, xor(4294967295, list_reduce(list_transform(range(1, length(x), 2), lambda k: ('0x' || substr(x, k, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) % 10000 AS bucket FROM u, tab),
+n AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM g JOIN c USING (f) GROUP BY bucket),
+w AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM g JOIN c USING (f) JOIN w USING (bucket) WHERE side = 'd' GROUP BY r),
+h AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT)::BIGINT AS score
+  FROM d LEFT JOIN m USING (r) WHERE side = 'd'),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM h)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END::BIGINT AS rank FROM o
 """,
 }
