@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, htmltext, langid, mixing, quality, resample, simhash, substrings, tokencount, tokenstore, urlfilter
+from docloom.llm import decontam, htmltext, langid, mixing, quality, resample, simhash, substrings, tokencount, tokenstore, urlfilter, warc
 from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -87,6 +87,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to WARC archives, equal payloads once, and read the archives back."""
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_archives(pages, path)
+    found = warc.read_records(spark, path, pages.schema["page_id"].dataType.simpleString())
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
@@ -99,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_warc_archives": op12_warc_archives,
 }
 
 SQL: dict[str, str] = {
@@ -189,5 +198,13 @@ h AS (
   FROM d LEFT JOIN m USING (r) WHERE side = 'd'),
 o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM h)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END::BIGINT AS rank FROM o
+""",
+    "op12_warc_archives": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS place, first(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS response FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (k // 4)::BIGINT + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN response END AS refers_to
+FROM g
 """,
 }
