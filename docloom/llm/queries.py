@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, htmltext, langid, mixing, quality, resample, simhash, substrings, tokencount, tokenstore, urlfilter, warc
+from docloom.llm import convrepair, decontam, htmltext, langid, mixing, quality, resample, simhash, substrings, tokencount, tokenstore, urlfilter, warc
 from docloom.llm.common import scratch_path, table
 
 #: Where the public vocabularies lie; None: the installed package that carries them.
@@ -95,6 +95,12 @@ def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage all conversations and repair them by the cheapest edits."""
+    conversations = table(spark, sf_dir, "conversations")
+    return convrepair.audit_conversations(conversations, convrepair.damage(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_warc_archives": op12_warc_archives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -206,5 +213,41 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (k // 4)::BIGINT + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN response END AS refers_to
 FROM g
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, range) ORDER BY range) AS tab FROM range(256)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+d AS (SELECT k.*, xor(4294967295, list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS dmg FROM k, tab),
+r AS (SELECT conv_id, turn, CASE WHEN dmg = 4 THEN 'user' ELSE role END AS role, CASE dmg WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM d, unnest(range(CASE WHEN dmg = 3 THEN 2 ELSE 1 END)) WHERE dmg <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n,
+  right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS i FROM r),
+f AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  string_agg(CASE fault WHEN '' THEN i WHEN 'truncated' THEN upper(i) ELSE translate(i, 'suao', 'xyz_') END, '' ORDER BY n) AS sig FROM f GROUP BY conv_id),
+w AS (
+  SELECT sig, length(sig) AS p, {'c': 0, 'a': ''} AS v0, {'c': 4, 'a': 'II'} AS v1, {'c': 2, 'a': 'I'} AS v2, {'c': 0, 'a': ''} AS v3 FROM (SELECT DISTINCT sig FROM c)
+  UNION ALL
+  SELECT sig, p - 1, list_min([b0, {'c': b2.c + 2, 'a': 'I' || b2.a}, {'c': b3.c + 4, 'a': 'II' || b3.a}]), list_min([b1, {'c': b2.c + 2, 'a': 'I' || b2.a}, {'c': b3.c + 4, 'a': 'II' || b3.a}]),
+    list_min([b2, {'c': b3.c + 2, 'a': 'I' || b3.a}]), list_min([b3, {'c': b2.c + 2, 'a': 'I' || b2.a}])
+  FROM (SELECT sig, p,
+      list_min([{'c': v0.c + 3, 'a': 'D' || v0.a}, {'c': v2.c + 2 + t + g, 'a': 'R' || v2.a}, CASE lower(x) WHEN 's' THEN {'c': v1.c + t, 'a': 'K' || v1.a} WHEN 'u' THEN {'c': v2.c + t, 'a': 'K' || v2.a} ELSE {'c': 1000000000, 'a': ''} END]) AS b0,
+      list_min([{'c': v1.c + 3, 'a': 'D' || v1.a}, {'c': v2.c + 2 + t + g, 'a': 'R' || v2.a}, CASE lower(x) WHEN 'u' THEN {'c': v2.c + t, 'a': 'K' || v2.a} ELSE {'c': 1000000000, 'a': ''} END]) AS b1,
+      list_min([{'c': v2.c + 3, 'a': 'D' || v2.a}, {'c': v3.c + 2 + t + g, 'a': 'R' || v3.a}, CASE lower(x) WHEN 'a' THEN {'c': v3.c + t, 'a': 'K' || v3.a} ELSE {'c': 1000000000, 'a': ''} END]) AS b2,
+      list_min([{'c': v3.c + 3, 'a': 'D' || v3.a}, {'c': v2.c + 2 + t + g, 'a': 'R' || v2.a}, CASE lower(x) WHEN 'u' THEN {'c': v2.c + t, 'a': 'K' || v2.a} ELSE {'c': 1000000000, 'a': ''} END]) AS b3
+    FROM (SELECT *, CASE WHEN x IN ('S', 'U', 'A', 'O') THEN 1 ELSE 0 END AS t, CASE WHEN x IN ('x', 'y', 'z', '_') THEN 1000000000 ELSE 0 END AS g FROM (SELECT *, substr(sig, p, 1) AS x FROM w WHERE p > 0)))),
+s AS (SELECT sig, v0.c AS cost, v0.a AS audit FROM w WHERE p = 0),
+e AS (
+  SELECT sig, audit, 0 AS step, 0 AS state, 0 AS n, '' AS edit, '' AS role FROM s
+  UNION ALL
+  SELECT sig, audit, step + 1, CASE edit2 WHEN 'D' THEN state WHEN 'K' THEN CASE lower(substr(sig, n + 1, 1)) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE state WHEN 2 THEN 3 ELSE 2 END END,
+    n + CASE edit2 WHEN 'I' THEN 0 ELSE 1 END, edit2, CASE WHEN edit2 IN ('I', 'R') THEN CASE state WHEN 2 THEN 'assistant' ELSE 'user' END END
+  FROM (SELECT *, substr(audit, step + 1, 1) AS edit2 FROM e WHERE step < length(audit))),
+h AS (SELECT c.conv_id, sha256(string_agg(coalesce(e.role, f.role) || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY step)) AS x
+  FROM c JOIN e ON e.sig = c.sig AND edit IN ('K', 'R', 'I') LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.n = e.n GROUP BY c.conv_id)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(h.x, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN s USING (sig) LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM q.conv_id
 """,
 }
