@@ -73,20 +73,21 @@ class Solver:
         self.most = 3
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * (len(signature) + 100)))
 
-    def options(self, at: int, state: int, made: int) -> Iterator[tuple[str, int, tuple[int, int, int], str | None]]:
+    def options(self, at: int, state: int, made: int) -> list[tuple[str, int, tuple[int, int, int], str | None]]:
         """Edits in order of their initials: initial, cost, where it leads, the role it gives."""
-        role, to = _WANTED[state]
-        if at < len(self.signature):
-            letter = self.signature[at]
-            yield "D", DELETE, (at + 1, state, 0), None
-        if made < self.most and (at < len(self.signature) or self.ends is None):
-            yield "I", INSERT, (at, to, made + 1), role
-        if at < len(self.signature) and letter not in GONE:
+        (role, to), found = _WANTED[state], []
+        letter = self.signature[at] if at < len(self.signature) else None
+        if letter is not None:
+            found.append(("D", DELETE, (at + 1, state, 0), None))
+        if made < self.most and (letter is not None or self.ends is None):
+            found.append(("I", INSERT, (at, to, made + 1), role))
+        if letter is not None and letter not in GONE:
             stays = TRUNCATED if letter in CUT else 0
             kept = _NEXT.get((state, initial(letter)))
             if kept is not None:
-                yield "K", stays, (at + 1, kept, 0), None
-            yield "R", stays + REROLE, (at + 1, to, 0), role
+                found.append(("K", stays, (at + 1, kept, 0), None))
+            found.append(("R", stays + REROLE, (at + 1, to, 0), role))
+        return found
 
     def cost(self, at: int, state: int, made: int = 0) -> int:
         key = (at, state, made)
@@ -94,8 +95,9 @@ class Solver:
             least = _NEVER
             if at == len(self.signature):
                 least = (0 if state in _ENDS else _NEVER) if self.ends is None else self.ends[state]
-            for _, cost, then, _ in self.options(at, state, made):
-                least = min(least, cost + self.cost(*then))
+            for _, cost, (to, then, again), _ in self.options(at, state, made):
+                left = self.cost(to, then, again)
+                least = min(least, cost + left)
             self._known[key] = min(least, _NEVER)
         return self._known[key]
 
