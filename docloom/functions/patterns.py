@@ -37,6 +37,40 @@ def nests_repeats(pattern: str) -> bool:
     return False
 
 
+#: A pattern for Java's matcher has at most so many repeats without an end, and groups are counted up to so many times.
+MAX_REPEATS, MAX_COUNTED_GROUP = 4, 8
+
+
+def runs_away(pattern: str) -> bool:
+    """Whether repeats can share a text in so many ways that a backtracking matcher may take very long."""
+    bare = re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]", "x", re.sub(r"\\[pP]\{[^}]*\}|\\.", "x", pattern, flags=re.S))
+    if len(re.findall(r"[*+]|\{\d*,\}", bare)) > MAX_REPEATS or nests_repeats(pattern):
+        return True
+    # a repeated group with alternatives or an optional part, or one that is counted often
+    for group in re.finditer(r"\(([^()]*)\)(?:([*+]|\{\d*,\})|\{(\d+)(?:,(\d+))?\})", bare):
+        if group[2] and re.search(r"[|?]|\{0?,", group[1].removeprefix("?:")) or not group[2] and int(group[4] or group[3]) > MAX_COUNTED_GROUP:
+            return True
+    return re.search(r"\)(?:[*+]|\{\d*,\}|\{\d{2,})", bare) is not None and re.search(r"\([^()]*\(", bare) is not None
+
+
+def checked_text(text: str, syntax: str, case: str) -> None:
+    """Refuse what no matcher takes."""
+    if not text:
+        raise RequestError("EmptyPattern", "the pattern is empty")
+    if len(text.encode()) > MAX_PATTERN_BYTES:
+        raise RequestError("PatternTooLong", f"the pattern has over {MAX_PATTERN_BYTES} bytes")
+    if syntax not in SYNTAXES or case not in CASES:
+        raise RequestError("InvalidPattern", f"unknown syntax or case: {syntax}, {case}")
+    if syntax == "regex" and _REFUSED.search(re.sub(r"\\\\", "", text)):
+        raise RequestError("InvalidPattern", "look-around and back-references are not supported")
+
+
+def ignores_case(text: str, syntax: str, case: str) -> bool:
+    """Smart case looks at literal characters: an upper-case one makes the search sensitive."""
+    literal = text if syntax == "literal" else re.sub(r"\\(?:[pP]\{[^}]*\}|.)", "", text)
+    return case == "insensitive" or case == "smart" and not any(c.isupper() for c in literal)
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A checked pattern; `java` is its Java spelling with all flags."""
@@ -47,18 +81,10 @@ class Pattern:
     word: bool = False
 
     def __post_init__(self) -> None:
-        if not self.text:
-            raise RequestError("EmptyPattern", "the pattern is empty")
-        if len(self.text.encode()) > MAX_PATTERN_BYTES:
-            raise RequestError("PatternTooLong", f"the pattern has over {MAX_PATTERN_BYTES} bytes")
-        if self.syntax not in SYNTAXES or self.case not in CASES:
-            raise RequestError("InvalidPattern", f"unknown syntax or case: {self.syntax}, {self.case}")
+        checked_text(self.text, self.syntax, self.case)
         if self.syntax == "regex":
-            bare = re.sub(r"\\\\", "", self.text)
-            if _REFUSED.search(bare):
-                raise RequestError("InvalidPattern", "look-around and back-references are not supported")
-            if nests_repeats(self.text):
-                raise RequestError("InvalidPattern", "repeats without an end may not stand in each other")
+            if runs_away(self.text):
+                raise RequestError("InvalidPattern", "repeats that may share their text in many ways need the linear matcher")
             try:
                 found = re.compile(re.sub(r"\\[pP](?:\{[^}]*\}|\w)|\\[zZAhHR]", ".", self.text))
             except re.error as e:
@@ -68,9 +94,7 @@ class Pattern:
 
     @property
     def ignores_case(self) -> bool:
-        """Smart case looks at literal characters: an upper-case one makes the search sensitive."""
-        literal = self.text if self.syntax == "literal" else re.sub(r"\\(?:[pP]\{[^}]*\}|.)", "", self.text)
-        return self.case == "insensitive" or self.case == "smart" and not any(c.isupper() for c in literal)
+        return ignores_case(self.text, self.syntax, self.case)
 
     @property
     def java(self) -> str:

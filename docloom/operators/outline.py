@@ -54,6 +54,48 @@ def section_paths(numbered: DataFrame, depth: int = 6) -> DataFrame:
     return out.drop("_walk").withColumn("path", F.array_join(F.transform("coords", lambda c: c.cast("string")), "."))
 
 
+def subtree_totals(sections: DataFrame, measures: list[str], levels: int = 6) -> DataFrame:
+    """sections (doc_key, ord, level, measures) with the totals of each section and all below it.
+
+    A section's subtree is the run up to the next section of its level or a smaller one, so a total is the difference of two prefix
+    sums; where the run ends is carried backwards, level by level, so nothing is walked or joined.
+    """
+    order = Window.partitionBy("doc_key").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    out = sections
+    for m in measures:
+        out = out.withColumn(f"_upto_{m}", F.sum(F.coalesce(m, F.lit(0))).over(order))
+    # what lies before a section, and all of its document, seen from behind
+    back = Window.partitionBy("doc_key").orderBy(F.col("ord").desc())
+    earlier, upto = back.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.struct(*[F.col(f"_upto_{m}").alias(m) for m in measures])
+    before = F.struct(*[(F.col(f"_upto_{m}") - F.coalesce(m, F.lit(0))).alias(m) for m in measures])
+    ends = [F.last(F.when(F.col("level") <= k, before), ignorenulls=True).over(earlier).alias(f"_end{k}") for k in range(1, levels + 1)]
+    out = out.select("*", F.first(whole).over(upto).alias("_all"), *ends)
+    end = F.coalesce(F.element_at(F.array(*[F.col(f"_end{k}") for k in range(1, levels + 1)]), F.col("level").cast("int")), F.col("_all"))
+    out = out.withColumn("_end", end)
+    totals = [(F.col("_end").getField(m) - F.col(f"_upto_{m}") + F.coalesce(m, F.lit(0))).cast("long").alias(f"total_{m}") for m in measures]
+    return out.select(*sections.columns, *totals)
+
+
+def breadcrumbs(nodes: DataFrame) -> DataFrame:
+    """nodes (doc_key, kind, path, coords, title) with breadcrumbs: path and title of each node around one, the outermost first.
+
+    Sections stand in the sections of their shorter coordinates, entries also in their own section, entries of the root in
+    the root, which like the quick reference stands in nothing. Every prefix of coordinates meets its section in one join by (document, path).
+    """
+    depth = F.size("coords") - F.when(F.col("kind") == "document-section", 1).otherwise(0)
+    inside = nodes.where(F.col("kind").isin("document-section", "document-entry") & (depth > 0))
+    wanted = inside.select("doc_key", F.col("path").alias("_own"), "coords", F.explode(F.sequence(F.lit(1), depth)).alias("_k"))
+    wanted = wanted.select("doc_key", "_own", "_k", F.array_join(F.slice("coords", F.lit(1), F.col("_k")).cast("array<string>"), ".").alias("path"))
+    root = nodes.where((F.col("kind") == "document-entry") & (F.coalesce(F.size("coords"), F.lit(0)) <= 0)).select("doc_key", F.col("path").alias("_own"), F.lit(0).alias("_k"), F.lit("root").alias("path"))
+    around = nodes.where(F.col("kind").isin("document-section", "document-root")).select("doc_key", "path", "title")
+    met = wanted.unionByName(root).join(around, ["doc_key", "path"])
+    trails = met.groupBy("doc_key", "_own").agg(F.array_sort(F.collect_list(F.struct("_k", "path", "title"))).alias("_t"))
+    trails = trails.select("doc_key", F.col("_own").alias("path"), F.transform("_t", lambda t: F.struct(t["path"].alias("path"), t["title"].alias("title"))).alias("breadcrumbs"))
+    empty = F.array().cast("array<struct<path:string,title:string>>")
+    return nodes.join(trails, ["doc_key", "path"], "left").withColumn("breadcrumbs", F.coalesce("breadcrumbs", empty))
+
+
 def outline(nodes: DataFrame, detail: str = "sections") -> DataFrame:
     """Rows of the outline in document order; entries only in detail "entries"."""
     rows = nodes if detail == "entries" else nodes.where("kind <> 'document-entry'")

@@ -12,13 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.linear import LinearPattern
 from docloom.functions.patterns import Pattern
 from docloom.schema import DEFAULT_PAGE, MAX_CONTEXT_LINES, MAX_OCCURRENCES, MAX_PAGE, RequestError
 
 
 @dataclass(frozen=True)
 class SearchQuery:
-    pattern: Pattern
+    pattern: Pattern | LinearPattern
     scope: str = "visible"
     context_lines: int = 0
     limit: int = DEFAULT_PAGE
@@ -45,10 +46,17 @@ def line_index(docs: DataFrame, key: str = "doc_key", text: str = "text") -> Dat
     return numbered_lines(docs, key, text).withColumn("start_byte", start)
 
 
-def hits(docs: DataFrame, pattern: Pattern, key: str = "doc_key", text: str = "text") -> DataFrame:
+def matching_lines(lines: DataFrame, pattern: Pattern | LinearPattern) -> DataFrame:
+    """Lines with matches, with occurrence_count."""
+    if isinstance(pattern, LinearPattern):
+        return pattern.counted(lines)
+    return lines.withColumn("occurrence_count", pattern.count(F.col("text"))).where("occurrence_count > 0")
+
+
+def hits(docs: DataFrame, pattern: Pattern | LinearPattern, key: str = "doc_key", text: str = "text") -> DataFrame:
     """One row a line with matches: doc_key, line_no, text, occurrence_count, ordinal (document-local)."""
-    matching = docs.where(pattern.matches(F.col(text)))
-    lines = numbered_lines(matching, key, text).withColumn("occurrence_count", pattern.count(F.col("text"))).where("occurrence_count > 0")
+    matching = docs.where(pattern.matches(F.col(text))) if isinstance(pattern, Pattern) else docs
+    lines = matching_lines(numbered_lines(matching, key, text), pattern)
     return lines.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_key").orderBy("line_no")).cast("long"))
 
 
@@ -107,23 +115,6 @@ def group_occurrences(found: DataFrame) -> DataFrame:
     )
 
 
-def innermost(positions: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Entry containment: of the nested intervals that hold a position, the one that starts last.
-
-    The interval with the greatest start at or before a position may have ended; the running
-    greatest end tells whether any earlier one can still hold it.
-    """
-    joined = positions.join(intervals, "doc_key").where("start <= pos AND pos < stop")
-    return joined.groupBy("doc_key", "pos").agg(F.max_by("node", "start").alias("node"))
-
-
 def running_ends(intervals: DataFrame) -> DataFrame:
     upto = Window.partitionBy("doc_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return intervals.withColumn("greatest_stop", F.max("stop").over(upto))
-
-
-def visible_to_markdown(positions: DataFrame, segments: DataFrame) -> DataFrame:
-    """Offsets of visible text in the Markdown: linear segments add the distance, opaque ones map to their whole range."""
-    found = owners(positions, segments.select("doc_key", F.col("visible_start").alias("start"), F.col("visible_end").alias("stop"), F.struct("visible_start", "md_start", "md_end", "linear").alias("node")))
-    start = F.when(F.col("node.linear"), F.col("node.md_start") + F.col("pos") - F.col("node.visible_start")).otherwise(F.col("node.md_start"))
-    return found.select("doc_key", "pos", start.alias("md_start"))

@@ -8,9 +8,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.linear import LinearPattern, pattern_of
 from docloom.functions.patterns import Pattern
 from docloom.functions.text import relative_path, strip_anchors
-from docloom.operators import admin, outline, resolve, scope, search
+from docloom.operators import admin, outline, resolve, scope, search, stabbing
 from docloom.operators import catalog as catalog_ops
 from docloom.plans import render
 from docloom.plans.index import Index, index
@@ -114,23 +115,24 @@ class Engine:
             raise
         return "\n\n".join(r["text"] for r in render.excerpt_markdown(nodes, parsed.documents).collect())
 
-    def _hits(self, parsed: Index, pattern: Pattern) -> DataFrame:
+    def _hits(self, parsed: Index, pattern: Pattern | LinearPattern) -> DataFrame:
         """Hits of the addressable render with the node that owns each line; lines that none owns are no hits."""
-        docs = parsed.documents.where(pattern.matches(F.col("markdown"))).select("doc_key", F.col("markdown").alias("text"))
+        docs = parsed.documents.where(pattern.matches(F.col("markdown")) if isinstance(pattern, Pattern) else F.lit(True)).select("doc_key", F.col("markdown").alias("text"))
         lines = search.line_index(docs).withColumn("text", strip_anchors(F.col("text")))
-        matching = lines.withColumn("occurrence_count", pattern.count(F.col("text"))).where("occurrence_count > 0")
+        matching = search.matching_lines(lines, pattern)
         spots = matching.select("doc_key", F.col("start_byte").alias("pos"), "line_no", "text", "occurrence_count")
         nodes = parsed.nodes.where("md_start IS NOT NULL")
         sections = nodes.where("kind <> 'document-entry'").select("doc_key", F.col("md_start").alias("start"), F.col("md_end").alias("stop"), F.col("path").alias("node"))
         entries = nodes.where("kind = 'document-entry'").select("doc_key", F.col("md_start").alias("start"), F.col("md_end").alias("stop"), F.col("path").alias("node"))
-        inner = search.innermost(spots.select("doc_key", "pos"), entries).withColumnRenamed("node", "entry")
-        owned = search.owners(spots, sections).join(inner, ["doc_key", "pos"], "left").withColumn("node", F.coalesce("entry", "node")).drop("entry")
+        inner = stabbing.innermost(spots.select("doc_key", "pos", F.col("line_no").alias("id")), entries.withColumn("ord", F.col("start"))).where("node IS NOT NULL")
+        inner = inner.select("doc_key", F.col("id").alias("line_no"), F.col("node").alias("entry"))
+        owned = search.owners(spots, sections).join(inner, ["doc_key", "line_no"], "left").withColumn("node", F.coalesce("entry", "node")).drop("entry")
         from pyspark.sql import Window
 
         return owned.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_key").orderBy("line_no")).cast("long"))
 
     def search(self, selector: str, pattern: str, syntax: str = "literal", case: str = "insensitive", word: bool = False, context_lines: int = 0, limit: int = 100, offset: int = 0) -> DataFrame:
-        query = search.SearchQuery(Pattern(pattern, syntax, case, word), "markdown", context_lines, limit, offset)
+        query = search.SearchQuery(pattern_of(pattern, syntax, case, word), "markdown", context_lines, limit, offset)
         parsed = self._one(self.resolve(selector))
         rows = search.page(self._hits(parsed, query.pattern), query.limit, query.offset)
         if not query.context_lines:
@@ -151,15 +153,24 @@ class Engine:
         manuals = rows.where("kind = 'manual'").select(F.col("doc_key").alias("from_key"), F.concat_ws("/", F.lit("manual"), "manual_section", "name").alias("to_key"), "kind", F.col("ord").alias("link_ord"))
         return documents.unionByName(manuals)
 
+    def _root(self, selector: str) -> str:
+        """What a root means; one that means nothing stays as it is and is unresolved."""
+        try:
+            return self.resolve(selector)
+        except ResolutionError as e:
+            if e.code == "Ambiguous":
+                raise
+            return selector
+
     def scope(self, roots: list[str], follow_links: bool = False, max_depth: int | None = None, max_documents: int | None = None) -> scope.Scope:
-        query = scope.ScopeQuery(tuple(map(self.resolve, roots)), follow_links, max_depth, max_documents)
+        query = scope.ScopeQuery(tuple(map(self._root, roots)), follow_links, max_depth, max_documents)
         sizes = self.index.documents.select("doc_key", F.octet_length("markdown").cast("long").alias("n_bytes"))
         return scope.closure(sizes, self.references, query)
 
     def scope_search(self, found: scope.Scope, pattern: str, limit: int = 100, offset: int = 0, **how: object) -> DataFrame:
         keys = F.broadcast(found.documents.select("doc_key"))
         inside = Index(self.index.documents.join(keys, "doc_key", "left_semi"))
-        return scope.paged_search(self._hits(inside, Pattern(pattern, **how)), found.documents, limit, offset)
+        return scope.paged_search(self._hits(inside, pattern_of(pattern, **how)), found.documents, limit, offset)
 
     def scope_explain(self, found: scope.Scope, entry: str) -> DataFrame:
         """For each document of the scope in order, the entry it means; n_choices over 1 is a failure, null a miss."""
