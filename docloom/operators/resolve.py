@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import component_suffix
 from docloom.operators.catalog import section_rank
+from docloom.operators.aliases import alias_targets
 from docloom.schema import RequestError
 
 SECTION = r"^(?:[0-9][A-Za-z0-9]{0,15}|l|n)$"
@@ -143,16 +144,8 @@ def tldr_pages(cached: DataFrame, platforms: list[str], languages: list[str]) ->
     return best.select(*[F.col("_page").getField(c).alias(c) for c in cached.columns])
 
 
-def alias_chain(edges: DataFrame, max_hops: int = 16) -> DataFrame:
-    """Final target of each redirect: edges (page, target); cycles and longer chains have no target."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_alias_edges")
-    walked = spark.sql(
-        f"""WITH RECURSIVE hop(page, at, seen, n) AS (
-              SELECT page, target, array(page), 1 FROM _alias_edges
-              UNION ALL
-              SELECT h.page, e.target, concat(h.seen, array(h.at)), h.n + 1 FROM hop h JOIN _alias_edges e ON e.page = h.at
-              WHERE h.n < {max_hops} AND NOT array_contains(h.seen, h.at))
-            SELECT h.page, h.at AS target, h.n AS hops FROM hop h LEFT ANTI JOIN _alias_edges e ON e.page = h.at"""
-    )
-    return walked
+def alias_chain(edges: DataFrame) -> DataFrame:
+    """page, target, hops of the pages whose alias chain (page, target) ends well."""
+    nodes = edges.select(F.col("page").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
+    found = alias_targets(nodes, edges.select(F.col("page").alias("node"), F.col("target").alias("to")))
+    return found.where("status = 'found' AND hops > 0").select(F.col("node").alias("page"), "target", "hops")

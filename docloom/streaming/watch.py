@@ -1,4 +1,4 @@
-"""A stream over a folder of documents that parses what is new into partitions of the index."""
+"""A stream over a folder of documents that parses what is new into a versioned table."""
 
 from __future__ import annotations
 
@@ -8,25 +8,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docloom.plans.index import _SCHEMA, _parsed
 from docloom.schema import MAX_INPUT_BYTES
+from docloom.sources.snapshot import Snapshot
+
+_FILES = r"\.(md|markdown|[0-9][a-z0-9]*)$"
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Parse new Markdown and manual files of folder into the table out; a file is read exactly once a checkpoint."""
+    """Parse new Markdown and manual files of folder into the snapshot out, a version a batch; a file is read exactly once a checkpoint."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     kind = F.when(F.lower("path").rlike(r"\.(md|markdown)$"), "markdown").otherwise("roff")
-    rows = files.where((F.col("length") <= MAX_INPUT_BYTES) & F.lower("path").rlike(r"\.(md|markdown|[0-9][a-z0-9]*)$")).select(F.col("path").alias("doc_key"), kind.alias("format"), "content", "modificationTime")
+    rows = files.where((F.col("length") <= MAX_INPUT_BYTES) & F.lower("path").rlike(_FILES)).select(F.col("path").alias("doc_key"), kind.alias("format"), "content")
 
     def add(batch: DataFrame, number: int) -> None:
-        parsed = batch.select("doc_key", "format", "content").mapInArrow(_parsed, _SCHEMA)
-        parsed.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        parsed = batch.select("doc_key", "format", "content").mapInArrow(_parsed, _SCHEMA).withColumn("batch", F.lit(number))
+        Snapshot(batch.sparkSession, out).upsert(parsed, (checkpoint, number))
 
     writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def current(spark: SparkSession, out: str) -> DataFrame:
-    """The latest version of every document."""
-    rows = spark.read.parquet(out)
-    last = rows.groupBy("doc_key").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["doc_key", "batch"], "left_semi")
+def forget_deleted(spark: SparkSession, folder: str, out: str) -> int:
+    """Take documents out of the snapshot whose files are gone; only names are listed."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("doc_key"))
+    return Snapshot(spark, out).forget_missing(there)
+
+
+def current(spark: SparkSession, out: str, version: int | None = None) -> DataFrame:
+    """The documents of a version, or of the last one."""
+    return Snapshot(spark, out).read(version)
