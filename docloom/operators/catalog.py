@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.patterns import Pattern
 from docloom.functions.text import component_suffix
+from docloom.operators.ordinals import numbered
 from docloom.schema import DEFAULT_PAGE, KINDS, MANUAL_SECTIONS, MAX_PAGE, RequestError
 
 COLUMNS = ("catalog_path", "name", "logical_path", "kind", "origin", "source_name", "source_priority", "manual_section", "path", "precedence_class")
@@ -94,13 +95,13 @@ class CatalogQuery:
     kind: str | None = None
     manual_section: str | None = None
     source: str | None = None
-    limit: int = DEFAULT_PAGE
+    limit: int | None = DEFAULT_PAGE  # None: all
     offset: int = 0
 
     def __post_init__(self) -> None:
         if self.kind is not None and self.kind not in KINDS:
             raise RequestError("ConflictingSelectors", f"unknown kind {self.kind}")
-        if not 1 <= self.limit <= MAX_PAGE or self.offset < 0:
+        if self.limit is not None and not 1 <= self.limit <= MAX_PAGE or self.offset < 0:
             raise RequestError("InvalidLimit", f"limit {self.limit}, offset {self.offset}")
         if self.source is not None and self.manual_section is not None:
             raise RequestError("ConflictingSelectors", "a source has no manual sections")
@@ -155,10 +156,13 @@ def find(catalog: DataFrame, query: CatalogQuery) -> DataFrame:
         F.col("_score").asc(), F.lower("logical_path").asc(), F.col("logical_path").asc(), F.lower("name").asc(), F.col("name").asc(),
         *by_precedence(), F.col("manual_section").asc_nulls_first(), F.col("origin").asc(),
     ]
-    page = rows.orderBy(*order, "path").offset(query.offset).limit(query.limit)
-    numbered = page.withColumn("ordinal", (F.row_number().over(Window.orderBy(*order, "path")) + query.offset).cast("long"))
+    if query.limit is None:
+        ranked = numbered(rows, [*order, F.col("path").asc()]).where(F.col("ordinal") > query.offset)
+    else:
+        page = rows.orderBy(*order, "path").offset(query.offset).limit(query.limit)
+        ranked = page.withColumn("ordinal", (F.row_number().over(Window.orderBy(*order, "path")) + query.offset).cast("long"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return numbered.join(F.broadcast(total)).select(*COLUMNS, F.col("_score.relevance").alias("relevance"), F.col("_score.spelling").alias("spelling"), "ordinal", "total")
+    return ranked.join(F.broadcast(total)).select(*COLUMNS, F.col("_score.relevance").alias("relevance"), F.col("_score.spelling").alias("spelling"), "ordinal", "total")
 
 
 def coverage(catalog: DataFrame, query: CatalogQuery) -> DataFrame:

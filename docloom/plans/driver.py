@@ -106,17 +106,17 @@ def _sql_find(pattern: str) -> str:
     SELECT * EXCLUDE sc, (sc // 10)::INT AS relevance, (sc % 10)::INT AS spelling FROM found"""
 
 
-for _name, _pattern, _limit, _offset in (("catalog_find_literal", "2", 10_000, 0), ("catalog_find_path", "en/5", 10_000, 0), ("catalog_find_case", "SRC1", 10_000, 0), ("catalog_page", "1", 15, 10)):
-    _register(_name, _SQL_CATALOG + _sql_find(_pattern) + (f" WHERE ordinal > {_offset} AND ordinal <= {_offset + _limit}"))(
+for _name, _pattern, _limit, _offset in (("catalog_find_literal", "2", None, 0), ("catalog_find_path", "en/5", None, 0), ("catalog_find_case", "SRC1", None, 0), ("catalog_page", "1", 15, 10)):
+    _register(_name, _SQL_CATALOG + _sql_find(_pattern) + (f" WHERE ordinal > {_offset} AND ordinal <= {_offset + _limit}" if _limit else ""))(
         lambda spark, sf_dir, p=_pattern, n=_limit, o=_offset: catalog.find(_catalog(spark, sf_dir), catalog.CatalogQuery(pattern=p, limit=n, offset=o))
     )
 
 
 @_register("catalog_find_regex", _SQL_CATALOG + r"""SELECT * FROM (SELECT *, 5 AS relevance, 2 AS spelling, row_number() OVER (ORDER BY lower(logical_path), logical_path, lower(name), name, precedence_class,
   source_priority DESC NULLS LAST, source_name NULLS FIRST, manual_section NULLS FIRST, origin, path) AS ordinal, count(*) OVER () AS total
-  FROM catalog WHERE regexp_matches(name, '(?i)^[0-9]*7$') OR regexp_matches(logical_path, '(?i)^[0-9]*7$')) WHERE ordinal <= 10000""")
+  FROM catalog WHERE regexp_matches(name, '(?i)^[0-9]*7$') OR regexp_matches(logical_path, '(?i)^[0-9]*7$'))""")
 def _find_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.find(_catalog(spark, sf_dir), catalog.CatalogQuery(pattern="^[0-9]*7$", syntax="regex", limit=10_000))
+    return catalog.find(_catalog(spark, sf_dir), catalog.CatalogQuery(pattern="^[0-9]*7$", syntax="regex", limit=None))
 
 
 @_register("catalog_scope", _SQL_CATALOG + "SELECT catalog_path, path FROM catalog WHERE kind = 'manual' AND manual_section = '3'")
@@ -145,13 +145,14 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selectors: every page number below 400, and every manual's name."""
-    numbers = spark.range(0, 400).select(F.col("id").cast("string").alias("selector"))
-    return numbers.unionByName(_read(spark, sf_dir, "documents").select(F.col("source").alias("selector")).distinct()).select("selector", F.col("selector").alias("name"), F.lit(0).alias("cand_ord"))
+    """Selectors: the last path component of every page, and every manual's name."""
+    pages = _markdown(spark, sf_dir).where("name <> ''").select(F.col("name").alias("selector"))
+    names = pages.unionByName(_read(spark, sf_dir, "documents").select(F.col("source").alias("selector"))).where("selector IS NOT NULL").distinct()
+    return names.select("selector", F.col("selector").alias("name"), F.lit(0).alias("cand_ord"))
 
 
-_SQL_RESOLVE = _SQL_CATALOG + r""", s AS (SELECT range::VARCHAR AS selector FROM range(400) UNION SELECT DISTINCT source FROM documents),
-c AS (SELECT s.selector, catalog.*, catalog.logical_path = s.selector AS is_exact FROM s JOIN catalog ON kind = 'markdown' AND (logical_path = s.selector OR ends_with(logical_path, '/' || s.selector))
+_SQL_RESOLVE = _SQL_CATALOG + r""", s AS (SELECT name AS selector FROM raw_catalog WHERE kind = 'markdown' AND name <> '' UNION SELECT source FROM documents WHERE source IS NOT NULL),
+c AS (SELECT s.selector, catalog.*, catalog.logical_path = s.selector AS is_exact FROM s JOIN catalog ON kind = 'markdown' AND name = s.selector AND (logical_path = s.selector OR ends_with(logical_path, '/' || s.selector))
   UNION ALL SELECT s.selector, catalog.*, true FROM s JOIN catalog ON kind = 'manual' AND name = s.selector),
 k AS (SELECT *, CASE WHEN kind = 'manual' THEN 1 WHEN origin = 'documents' OR source_priority > 0 THEN 0 ELSE 2 END AS phase FROM c),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY selector ORDER BY phase, CASE WHEN origin = 'documents' THEN 0 ELSE 1 END, source_priority DESC NULLS LAST, source_name NULLS FIRST, is_exact DESC,
@@ -170,22 +171,8 @@ def _precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.ranked(resolve.candidates(_catalog(spark, sf_dir), _names(spark, sf_dir))).select("selector", "catalog_path", "path", "phase", "place")
 
 
-def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selectors: the last path component of every page, and every manual's name."""
-    pages = _markdown(spark, sf_dir).where("name <> ''").select(F.col("name").alias("selector"))
-    names = pages.unionByName(_read(spark, sf_dir, "documents").select(F.col("source").alias("selector"))).where("selector IS NOT NULL").distinct()
-    return names.select("selector", F.col("selector").alias("name"), F.lit(0).alias("cand_ord"))
-
-
-# no SQL: its suffix join compares all selectors with all pages; a test has the brute-force version
-@_register("resolve_all_names")
-def _resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(_catalog(spark, sf_dir), _all_names(spark, sf_dir))
-
-
-@_register("resolve_all_precedence")
-def _precedence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.ranked(resolve.candidates(_catalog(spark, sf_dir), _all_names(spark, sf_dir))).select("selector", "catalog_path", "path", "phase", "place")
+QUERIES["resolve_all_names"], SQL["resolve_all_names"] = QUERIES["resolve_names"], SQL["resolve_names"]
+QUERIES["resolve_all_precedence"], SQL["resolve_all_precedence"] = QUERIES["resolve_precedence"], SQL["resolve_precedence"]
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,26 +255,15 @@ turns AS (SELECT *, start + octet_length(encode(text)) AS stop FROM t)
 """
 
 
-@_register("search_owner_asof", _SQL_TURNS + """, a AS (SELECT DISTINCT doc_key, p * 97 AS pos FROM turns, unnest(range(0, 60)) r(p)),
+@_register("search_owner_asof", _SQL_TURNS + """, a AS (SELECT doc_key, unnest(range(0, (max(stop) + 1)::BIGINT, 97)) AS pos FROM turns GROUP BY doc_key),
   j AS (SELECT a.doc_key, a.pos, n.turn, n.stop FROM a ASOF JOIN turns n ON a.doc_key = n.doc_key AND a.pos >= n.start)
   SELECT doc_key, pos, turn AS node FROM j WHERE pos < stop""")
 def _owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _turns(spark, sf_dir)
-    asked = nodes.select("doc_key").distinct().select("doc_key", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("p")).select("doc_key", (F.col("p") * 97).cast("long").alias("pos"))
+    asked = nodes.groupBy("doc_key").agg(F.max("stop").alias("end")).select("doc_key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("end", F.lit(0)).cast("long"), F.lit(97).cast("long"))).alias("pos"))
     return search.owners(asked, nodes.select("doc_key", "start", "stop", F.col("turn").alias("node")))
 
 
-@_register("search_groups", _SQL_TURNS + """, o AS (SELECT doc_key, p AS pos, (p // 4)::BIGINT AS line, (p // 7) % 2 AS node FROM (SELECT DISTINCT doc_key FROM turns), unnest(range(0, 40)) r(p)),
-  g AS (SELECT *, CASE WHEN lag(line) OVER w = line AND lag(node) OVER w = node THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY doc_key ORDER BY pos)),
-  i AS (SELECT *, sum(new) OVER (PARTITION BY doc_key ORDER BY pos)::BIGINT AS ordinal FROM g)
-  SELECT doc_key, ordinal, min(line) AS start_line, first(node)::BIGINT AS node, count(*) AS occurrence_count FROM i GROUP BY doc_key, ordinal""")
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_key")).distinct()
-    p = F.col("pos")
-    found = docs.select("doc_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("pos")).select("doc_key", "pos", F.floor(p / 4).alias("start_line"), F.floor(p / 4).alias("end_line"), (F.floor(p / 7) % 2).alias("node"))
-    return search.group_occurrences(found).select("doc_key", "ordinal", "start_line", "node", "occurrence_count")
-
-
 @_register("prefix_max_intervals", """SELECT user_id AS doc_key, event_id, start, stop, max(stop) OVER (PARTITION BY user_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS greatest_stop
   FROM (SELECT user_id, event_id, epoch_us(ts) // 1000000 + event_id % 2 AS start, epoch_us(ts) // 1000000 + event_id % 2 + (event_id * 7919) % 100000 + event_id % 97 AS stop FROM events)""")
 def _prefix_max(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,7 +497,7 @@ def _collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a Markdown document: a title and a section a turn."""
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), "role", F.lit("\n\n- `--turn-"), F.col("turn").cast("string"), F.lit("`: the turn\n\nlicense "), F.col("turn").cast("string")).alias("part"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), "role", F.lit("\n\n- `--turn-"), F.col("turn").cast("string"), F.lit("`: the turn\n\nlicense "), F.col("turn").cast("string"), F.lit("\n\n````\n"), "text", F.lit("\n````")).alias("part"))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
     return whole.select(F.col("conv_id").cast("string").alias("doc_key"), F.lit("markdown").alias("format"), F.encode(F.concat(F.lit("# Conversation\n\n"), "text"), "utf-8").alias("content"))
 
@@ -535,7 +511,9 @@ def _markdown_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(_conversation_markdown(spark, sf_dir)).nodes.select("doc_key", "path", "kind", "id", "title")
 
 
-@_register("markdown_search_owners", """SELECT conv_id::VARCHAR AS doc_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR AS node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, 'license ' || turn AS text FROM conversations""")
+@_register("markdown_search_owners", """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, ['license ' || turn] || string_split(text, chr(10)) AS lines FROM conversations),
+  l AS (SELECT conv_id, n, unnest(lines) AS text, generate_subscripts(lines, 1) AS k FROM t)
+  SELECT conv_id::VARCHAR AS doc_key, n::VARCHAR AS node, row_number() OVER (PARTITION BY conv_id ORDER BY n, k) AS ordinal, text FROM l WHERE contains(lower(text), 'license')""")
 def _markdown_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.plans.engine import Engine
     from docloom.plans.index import index
@@ -543,8 +521,8 @@ def _markdown_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, None, None)._hits(index(_conversation_markdown(spark, sf_dir)), _LICENCE).select("doc_key", "node", "ordinal", "text")
 
 
-@_register("markdown_excerpts", """SELECT conv_id::VARCHAR AS doc_key, n::VARCHAR AS path, '*Outline ' || n || '*' || chr(10) || chr(10) || '<a id="' || id || '"></a>' || chr(10) || '## ' || role || chr(10) || chr(10) || '- <a id="option-turn-' || turn || '"></a>`--turn-' || turn || '`: the turn' || chr(10) || chr(10) || 'license ' || turn AS text
-  FROM (SELECT *, role || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations))""")
+@_register("markdown_excerpts", """SELECT conv_id::VARCHAR AS doc_key, n::VARCHAR AS path, '*Outline ' || n || '*' || chr(10) || chr(10) || '<a id="' || id || '"></a>' || chr(10) || '## ' || role || chr(10) || chr(10) || '- <a id="option-turn-' || turn || '"></a>`--turn-' || turn || '`: the turn' || chr(10) || chr(10) || 'license ' || turn || chr(10) || chr(10) || '```' || chr(10) || body || chr(10) || '```' AS text
+  FROM (SELECT *, text AS body, role || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations))""")
 def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.plans import render
     from docloom.plans.index import index
@@ -557,7 +535,7 @@ def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _manual_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.plans.index import index
 
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(".SH "), F.upper("role"), F.lit("\nSee\n.BR tar (1)\nfor \\fBmore\\fP.")).alias("part"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(".SH "), F.upper("role"), F.lit("\nSee\n.BR tar (1)\nfor \\fBmore\\fP.\n"), F.regexp_replace(F.replace("text", F.lit("\\"), F.lit("\\e")), "(?m)^", r"\\&")).alias("part"))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("text"))
     raw = whole.select(F.col("conv_id").cast("string").alias("doc_key"), F.lit("roff").alias("format"), F.encode(F.concat(F.lit(".TH X 1\n"), "text"), "utf-8").alias("content"))
     return index(raw).nodes.select("doc_key", "path", "id", "title")

@@ -197,3 +197,18 @@ def _breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY line_no) AS ordinal FROM h WHERE occurrence_count > 0""")
 def _linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hits(_documents(spark, sf_dir), linear.pattern_of(r"(?:e|en|n)+[.] *$|\w*i\w*i\w*i\w*,", syntax="regex"))
+
+
+@_register("search_groups", "WITH t AS (SELECT conv_id, turn, text, coalesce(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM conversations), d AS (SELECT {'c': conv_id, 't': turn} AS doc_key, text FROM t), " + _sql_occurrences("d", "en|er") + """,
+  f AS (SELECT conv_id AS doc_key, begin + o.start AS pos, length(before) - length(replace(before, chr(10), '')) + 1 AS line, turn AS node FROM o JOIN t ON o.doc_key.c = conv_id AND o.doc_key.t = turn, LATERAL (SELECT substr(text, 1, start_char) AS before)),
+  h AS (SELECT *, CASE WHEN lag(line) OVER v = line AND lag(node) OVER v = node THEN 0 ELSE 1 END AS new FROM f WINDOW v AS (PARTITION BY doc_key ORDER BY pos)),
+  i AS (SELECT *, sum(new) OVER (PARTITION BY doc_key ORDER BY pos)::BIGINT AS ordinal FROM h)
+  SELECT doc_key, ordinal, min(line)::BIGINT AS start_line, any_value(node) AS node, count(*) AS occurrence_count FROM i GROUP BY doc_key, ordinal""")
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in all turns, as hits of a conversation's lines."""
+    before = spans.Window.partitionBy("conv_id").orderBy("turn").rowsBetween(spans.Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.octet_length("text").cast("long") + 1).over(before), F.lit(0))
+    turns = _read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn", begin.alias("begin")).alias("doc_key"), "text")
+    found = spans.placed(spans.occurrences(turns, Pattern("en|er", syntax="regex", case="sensitive")), turns)
+    found = found.select(F.col("doc_key.conv_id").alias("doc_key"), (F.col("doc_key.begin") + F.col("start")).alias("pos"), "start_line", "end_line", F.col("doc_key.turn").alias("node"))
+    return search.group_occurrences(found).select("doc_key", "ordinal", "start_line", "node", "occurrence_count")
