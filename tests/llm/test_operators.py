@@ -97,7 +97,6 @@ def test_token_store(spark, docs, empty, tmp_path):
     tokenstore.write_store(docs, store, path)
     assert len(tokenstore.check_manifest(spark, store)) == 64
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in rows():
         ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2]
@@ -133,10 +132,9 @@ def test_encoder_pieces():
 
     path = vocabulary("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = ["", "  ", " a", "a ", "a  b", "a \n b", "\n\nx", "x\n", "it's  don't 's ' s", "tab\tx y\t", "é x y  z", "a\x1cb \x1c c", "<|endoftext|> hi", "日本 語  字", "a　b", " \t", "1 2,3. 4\r\n5", "ĉ x", "a\x00b", "a\n'b c\n 'd", "\nx", "x\n", "a\n日本 b", "϶a ϵb", "don' 's a's _x_ __ x\n__", "w" * 39 + " " + "w" * 50 + " é" * 20, "ÄÖ straße's\n-x-", "привет, мир!\nда"]
+    odd = ["", "  ", " a", "a ", "a  b", "a \n b", "\n\nx", "x\n", "it's  don't 's ' s", "tab\tx y\t", "é x y  z", "a\x1cb \x1c c", "<|endoftext|> hi", "a <|endoftext|>b c <|endoftext|>", "日本 語  字", "a　b", " \t", "1 2,3. 4\r\n5", "ĉ x", "a\x00b", "a\n'b c\n 'd", "\nx", "x\n", "a\n日本 b", "϶a ϵb", "don' 's a's _x_ __ x\n__", "w" * 39 + " " + "w" * 50 + " é" * 20, "ÄÖ straße's\n-x-", "привет, мир!\nда"]
     rng = random.Random(8)
-    odd += ["".join(rng.choice(["a", "b", "é", "日", "1", "'", "s", ".", "%", " ", " ", "\n", "\t", "the", "Ж"]) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    odd += ["".join(rng.choice(["a", "b", "é", "日", "1", "'", "s", ".", "%", " ", " ", "\n", "\t", "the", "Ж", "<|endoftext|>"]) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
     got = list(tokenstore.Encoder(path).encode(pa.array([*odd, None])))
     assert [g.tolist() for g in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in [*odd, ""]]
 
