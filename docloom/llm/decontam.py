@@ -19,7 +19,7 @@ by :func:`decontaminate`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import ascii_lower, materialize
@@ -90,20 +90,17 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     starts = texts.select("_k1", "_k2", F.inline(F.concat(*every)))
     near = starts.join(_sent(windows.select("h", "size", "gram", "items"), BROADCAST_WINDOWS), ["h", "size"])
     sure = near.join(texts, ["_k1", "_k2"]).where("array_join(slice(_w, at, size), ' ') = gram")
-    found = (
-        sure.groupBy("_k1", "_k2")
-        .agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("found"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        .withColumn(
-            "spans",
-            F.expr(
-                "aggregate(found, cast(array() as array<struct<start:int,stop:int>>), (s, x) ->"
-                " CASE WHEN size(s) > 0 AND x.at <= s[size(s) - 1].stop"
-                " THEN concat(slice(s, 1, size(s) - 1), array(named_struct('start', s[size(s) - 1].start, 'stop', greatest(s[size(s) - 1].stop, x.at + x.size))))"
-                " ELSE concat(s, array(named_struct('start', x.at, 'stop', x.at + x.size))) END)"
-            ),
-        )
-    )
-    return materialize(found.select("_k1", "_k2", F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("n_hit"), "spans", "items"), "verdicts")
+    # occurrences that touch or overlap are one span: islands by the greatest end so far
+    order = Window.partitionBy("_k1", "_k2").orderBy("at", "size")
+    spots = sure.select("_k1", "_k2", "at", "size", "items")
+    reach = F.max(F.col("at") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spots = spots.withColumn("_new", F.when(F.col("at") <= reach, 0).otherwise(1)).withColumn("_span", F.sum("_new").over(order))
+    merged = spots.groupBy("_k1", "_k2", "_span").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("stop"), F.collect_set("items").alias("items"))
+    found = merged.groupBy("_k1", "_k2").agg(
+        F.sum(F.col("stop") - F.col("start")).cast("long").alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.array_distinct(F.flatten(F.collect_set("items")))))).alias("items"),
+    )
+    return materialize(found.select("_k1", "_k2", "n_hit", "spans", "items"), "verdicts")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:

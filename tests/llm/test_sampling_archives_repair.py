@@ -255,3 +255,14 @@ def test_solver_on_long_signatures():
         assert (solver.cost(0, convrepair.START), solver.edits(convrepair.START)[0]) == (cost, audit)
     deep = convrepair.Solver("ua" * 3000, None)
     assert deep.cost(0, convrepair.START) == 0 and deep.edits(convrepair.START)[0] == "K" * 6000
+
+
+def test_a_text_with_very_many_separate_spans(spark):
+    from docloom.llm import decontam
+
+    item = " ".join(f"w{i}" for i in range(13))
+    n = 100_000
+    docs = spark.createDataFrame([(1, f"{item} filler " * n), (2, f"{item} {item} x"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item), ("b", item)], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], len(r["spans"] or [])) for r in decontam.contamination(docs, bench).collect()}
+    assert got == {1: (14 * n, 13 * n, 2, n), 2: (27, 26, 2, 1), 3: (1, 0, 0, 0)}
