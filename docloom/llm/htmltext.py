@@ -5,14 +5,16 @@ and what the markup says of it.  The distinct pages of a host are put in order o
 each is paired with the neighbour whose path starts most alike.  Two longest common
 subsequences align a pair: one of the lines' texts, one of the runs of equal slots.  What they share is the site's:
 
-* a line whose text is shared goes, unless an article or main element protects it, as articles may quote the same passage;
-* a line that class, id or role words call an advert, a notice, comments and so on goes if its slot or its text is shared
-  (in an article only whole class words count; a page without a neighbour has these words alone, and they don't reach into articles;
-  the whole class words of SURE_WORDS need no neighbour);
+* where a page has an article, a line outside of it goes if its text or its slot is shared; elsewhere a line goes if
+  its text is, as pages keep their main text in like slots (and articles may quote the same passage, so theirs stay);
+* a line that class or role words call an advert, a newsletter and so on goes if its slot or its text is shared, also in an article;
 * the unshared lines say where the main text lies: in the page's article, or, if more than TEASER times as much
   unshared text lies outside of it, outside (the articles are then teasers).
 
-Elements that HTML defines as menus, footers, sidebars, forms and the like go on every page, as those texts
+What the alignment can't see is left to the page's own words (:func:`worded`): a page without a neighbour keeps its article alone,
+a line outside of an article that is called an aside goes, as an advert may stand on one page only, and the class
+words of NAMED (adverts, notices) hold inside articles too.  Elements that HTML defines as menus, footers, sidebars, forms and
+the like, the roles that stand for them, and containers of readers' comments, by class or id, go on every page, as those texts
 differ from page to page on many sites.  A neighbour that shares all of a page's unmarked lines is a copy
 with another menu and decides nothing.
 
@@ -56,13 +58,21 @@ BITS_AT_ONCE = 64_000_000
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea select datalist".split())
 #: Elements that are no part of an article.
 ASIDE = frozenset("nav footer aside form menu dialog button fieldset".split())
-#: Words in class, id or role of elements that may be no part of an article.
+#: Roles that stand for such elements.
+ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words in class or id of elements that may be no part of an article.
 ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer header login menu "
+    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies dialog footer header login menu "
     "modal nav navbar navigation newsletter notice notices pagination popup promo related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Class words that are as sure as an element if they stand alone.
-SURE_WORDS = frozenset("ad ads advert advertisement adverts comments cookie cookies disqus newsletter popup sharing sidebar social sponsored subscribe".split())
+#: Class words that hold in an article without a neighbour: adverts and notices.
+NAMED_WORDS = frozenset("ad ads advert advertisement adverts alert notice notices sponsored".split())
+#: Words in class or id of containers of readers' comments.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+#: Parts of words that tell of a page's state and name no container.
+STATE_WORDS = frozenset("closed has no open with".split())
+#: Elements that may contain comments.
+CONTAINERS = frozenset("article div dl li ol section table ul".split())
 #: Elements that hold an article.
 ARTICLE = frozenset("article main".split())
 #: Elements within a line; all others begin and end blocks.
@@ -80,8 +90,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in UNSEEN}
 
-#: Marks of lines: none; called an aside by words; inside an element that is one for sure.
-PLAIN, CALLED, SURE = 0, 1, 2
+#: Marks of lines: none; called an aside by words; inside an element that is one for sure; called an advert or a notice by a whole class word.
+PLAIN, CALLED, SURE, NAMED = 0, 1, 2, 3
 
 
 class Line(NamedTuple):
@@ -95,27 +105,38 @@ class _Open(NamedTuple):
     name: str
     asides: int
     called: int
+    named: int
     articles: int
     place: int  # of its tag
     slot: str
 
 
-def _names(attributes: str) -> tuple[list[str], list[str]]:
-    """Words of class and role, and of the id."""
-    if "=" not in attributes:
-        return [], []
-    found = _NAMED.findall(attributes.lower())
-    return [w for kind, *value in found if kind != "id" for w in "".join(value).split()], [w for kind, *value in found if kind == "id" for w in "".join(value).split()]
+def _names(attributes: str) -> tuple[list[str], list[str], list[str]]:
+    """Words of class, id and role."""
+    out: dict[str, list[str]] = {"class": [], "id": [], "role": []}
+    if "=" in attributes:
+        for kind, *value in _NAMED.findall(attributes.lower()):
+            out[kind] += "".join(value).split()
+    return out["class"], out["id"], out["role"]
 
 
-def _is_called(words: list[str], ids: list[str], inside: bool) -> bool:
-    if inside:  # an id there names a section, and a word with others is its own
-        return any(w in ASIDE_WORDS for w in words)
-    return any(part in ASIDE_WORDS for w in (*words, *ids) for part in re.split(r"[^a-z0-9]+", w))
+def _parts(word: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z0-9]+", word) if x]
+
+
+def _is_called(classes: list[str], ids: list[str], inside: bool) -> bool:
+    if inside:  # an id there names a section, and a word with others than these is its own
+        return any(ASIDE_WORDS.issuperset(_parts(w) or [w]) for w in classes)
+    return any(part in ASIDE_WORDS for w in (*classes, *ids) for part in _parts(w))
+
+
+def _holds_comments(name: str, classes: list[str], ids: list[str]) -> bool:
+    found = (set(_parts(w)) for w in (*classes, *ids))
+    return name in CONTAINERS and any(not COMMENT_WORDS.isdisjoint(parts) and STATE_WORDS.isdisjoint(parts) for parts in found)
 
 
 def lines_of(page: str | None) -> list[Line]:
-    """Lines in page order; words that would hide all of a page's articles do not count on them and what contains them."""
+    """Lines in page order; words, and a form, that would hide all of a page's articles do not count on them and what contains them."""
     out, around = _lines(page, frozenset())
     if around and not any(x.inside and x.mark == PLAIN for x in out):
         out, _ = _lines(page, around)
@@ -127,7 +148,7 @@ def _lines(page: str | None, wordless: frozenset[int]) -> tuple[list[Line], froz
     around: set[int] = set()
     out: list[Line] = []
     held: list[str] = []
-    outside = _Open("", 0, 0, 0, -1, "")
+    outside = _Open("", 0, 0, 0, 0, -1, "")
     stack: list[_Open] = []
     top, source = outside, page or ""
 
@@ -135,7 +156,7 @@ def _lines(page: str | None, wordless: frozenset[int]) -> tuple[list[Line], froz
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(Line(text, SURE if top.asides else CALLED if top.called else PLAIN, top.articles > 0, top.slot))
+            out.append(Line(text, SURE if top.asides else NAMED if top.named else CALLED if top.called else PLAIN, top.articles > 0, top.slot))
 
     at = 0
     while (tag := _TAG.search(source, at)) is not None:
@@ -171,17 +192,18 @@ def _lines(page: str | None, wordless: frozenset[int]) -> tuple[list[Line], froz
                 if stack[k].name not in INLINE and stack[k].name != "p":
                     break
             top = stack[-1] if stack else outside
-        words, ids = _names(attributes)
-        aside = name in ASIDE or (name == "header" and not top.articles)
-        worded = not aside and name not in ("html", "body") and tag.start() not in wordless
-        called = worded and _is_called(words, ids, top.articles > 0)
-        aside = aside or worded and not SURE_WORDS.isdisjoint(words)
+        words, ids, roles = _names(attributes)
+        worded = name not in ("html", "body") and tag.start() not in wordless
+        aside = name in ASIDE and (name != "form" or tag.start() not in wordless) or (name == "header" and not top.articles)
+        aside = aside or worded and (not ASIDE_ROLES.isdisjoint(roles) or _holds_comments(name, words, ids))
+        called = worded and not aside and _is_called(words, ids, top.articles > 0)
+        named = called and not NAMED_WORDS.isdisjoint(words)
         if name in ARTICLE:
             around.update(x.place for x in stack)
             around.add(tag.start())
         article = name in ARTICLE and not (top.asides or top.called or aside or called)
-        slot = top.slot if name in INLINE else f"{top.slot}/{name}" + "".join(f".{w}" for w in sorted({re.sub(r'[0-9]+', '', w) for w in words}))
-        top = _Open(name, top.asides + aside, top.called + called, top.articles + article, tag.start(), slot)
+        slot = top.slot if name in INLINE else f"{top.slot}/{name}" + "".join(f".{w}" for w in sorted({re.sub(r'[0-9]+', '', w) for w in (*words, *roles)}))
+        top = _Open(name, top.asides + aside, top.called + called, top.named + named, top.articles + article, tag.start(), slot)
         stack.append(top)
     held.append(source[at:])
     flush()
@@ -256,33 +278,40 @@ def shared_slots(a: list[int], b: list[int]) -> list[int]:
     return [i for k in runs for i in range(starts[k], stops[k])]
 
 
-def kept_lines(hashes: list[int], slots: list[int], marks: list[int], sizes: list[int], near: list[tuple[list[int], list[int]]]) -> tuple[list[int], int]:
-    """Indexes of the lines that stay, and the number of texts shared with the neighbour that decides.
+def kept_lines(hashes: list[int], slots: list[int], marks: list[int], sizes: list[int], near: list[tuple[list[int], list[int]]]) -> tuple[list[int], bool, bool]:
+    """Indexes of the lines that stay by the alignment, whether the main text is in articles, and whether a neighbour decided.
 
     marks are the lines' marks, with 4 added inside an article; near has hashes and slots of the neighbours, the nearest first.
     """
     plain = [i for i, m in enumerate(marks) if not m & 3]
     inside = [i for i in plain if marks[i] & 4]
     texts: set[int] = set()
-    places: set[int] | None = None
+    places: set[int] = set()
+    met = False
     for other, other_slots in near:
         shared = set(shared_lines(hashes, other))
         if all(i in shared for i in plain) and plain:
             continue  # a copy
-        texts, places = shared, set(shared_slots(slots, other_slots))
+        texts, places, met = shared, set(shared_slots(slots, other_slots)), True
         break
     own = [i for i in plain if not marks[i] & 4 and i not in texts]
     articles = bool(inside) and sum(sizes[i] for i in own) <= TEASER * sum(sizes[i] for i in inside)
     out = []
     for i, m in enumerate(marks):
-        if m & 3 == SURE or bool(m & 4) != articles and (articles or inside):
-            continue
-        if m & 3 == CALLED and (i in texts or i in places if places is not None else not m & 4):
+        if m & 3 == SURE or inside and not articles and m & 4:
             continue
-        if m & 3 == PLAIN and not m & 4 and i in texts:
-            continue
-        out.append(i)
-    return out, len(texts)
+        if m & 3 == PLAIN:
+            site = not m & 4 and (i in texts or articles and i in places)
+        else:
+            site = i in texts or i in places
+        if not site:
+            out.append(i)
+    return out, articles, met
+
+
+def worded(kept: list[int], marks: list[int], articles: bool, met: bool) -> list[int]:
+    """Of the lines that the alignment left, those that stay by the page's own elements and words."""
+    return [i for i in kept if marks[i] & 3 != NAMED and (marks[i] & 4 or marks[i] & 3 == PLAIN and (met or not articles))]
 
 
 def _hash(text: str) -> int:
@@ -352,13 +381,14 @@ def _paired(pages: pd.DataFrame) -> pd.DataFrame:
         if own[i]:
             near = [k for k in (i - 1, i + 1) if 0 <= k < len(keys) and hosts[k] == hosts[i]]
             near.sort(key=lambda k: -_alike(paths[i], paths[k]))
-            kept, shared = kept_lines(list(hashes[i]), list(slots[i]), list(marks[i]), list(sizes[i]), [(list(hashes[k]), list(slots[k])) for k in near])
-            out.append((keys[i], kept, shared))
-    return pd.DataFrame({"key": pd.Series([k for k, _, _ in out], dtype=object), "kept": pd.Series([x for _, x, _ in out], dtype=object), "n_shared": pd.Series([n for _, _, n in out], dtype="int64")})
+            held, articles, met = kept_lines(list(hashes[i]), list(slots[i]), list(marks[i]), list(sizes[i]), [(list(hashes[k]), list(slots[k])) for k in near])
+            open_lines = sum(m & 3 != SURE for m in marks[i])
+            out.append((keys[i], worded(held, list(marks[i]), articles, met), open_lines - len(held) if met else 0))
+    return pd.DataFrame({"key": pd.Series([k for k, _, _ in out], dtype=object), "kept": pd.Series([x for _, x, _ in out], dtype=object), "n_site": pd.Series([n for _, _, n in out], dtype="int64")})
 
 
 def decisions(hashed: DataFrame) -> DataFrame:
-    """key, kept (indexes of lines) and n_shared of the distinct pages (key, host, path, hashes, slots, marks, sizes)."""
+    """key, kept (indexes of lines) and n_site of the distinct pages (key, host, path, hashes, slots, marks, sizes)."""
     page = F.struct("path", "hashes", "slots", "marks", "sizes")
     once = materialize(hashed.groupBy("key", "host").agg(F.min_by(page, "path").alias("p")).select("key", "host", "p.*"), "distinct-pages")
     n = max(1, -(-once.count() // PAGES_A_RANGE))
@@ -373,7 +403,7 @@ def decisions(hashed: DataFrame) -> DataFrame:
     after = steps.join(edges.select(F.col("part").alias("next"), "first"), "next").select("first.*", "part")
     beside = before.unionByName(after).withColumn("own", F.lit(False))
     whole = ranged.withColumn("own", F.lit(True)).unionByName(beside)
-    found = materialize(whole.groupBy("part").applyInPandas(_paired, "key binary, kept array<int>, n_shared bigint"), "decisions")
+    found = materialize(whole.groupBy("part").applyInPandas(_paired, "key binary, kept array<int>, n_site bigint"), "decisions")
     drop_scratch(ranged)
     return found
 
@@ -391,13 +421,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "page_url": batch.column("page_url"),
                 "text": pa.array(out, pa.string()),
                 "n_chars": pa.array([len(t) for t in out], pa.int64()),
-                "n_shared": batch.column("n_shared"),
+                "n_site": batch.column("n_site"),
             }
         )
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
-    """id_col, url_col, text, n_chars, n_shared (lines whose text the neighbour has too)."""
+    """id_col, url_col, text, n_chars, n_site (lines that went as a neighbour showed them to be the site's)."""
     held = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("page_url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("_html"))
     kinds = {f.name: f.dataType.simpleString() for f in held.schema}
     hashed = held.select("host", "path", "_html").mapInArrow(_hashed, "key binary, host string, path string, hashes array<bigint>, slots array<bigint>, marks array<tinyint>, sizes array<int>")
@@ -405,6 +435,6 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", id
     # pages are read twice, which costs less than the texts would take on disk meanwhile; copies of a page
     # all meet one decision, and such a key is split by the adaptive join
     packed = held.select("id", "page_url", "host", "_html").mapInArrow(_packed, f"id {kinds['id']}, page_url {kinds['page_url']}, key binary, lines binary")
-    met = packed.join(found, "key", "left").select("id", "page_url", "lines", "kept", "n_shared")
-    texts = met.mapInArrow(_texts, f"id {kinds['id']}, page_url {kinds['page_url']}, text string, n_chars bigint, n_shared bigint")
-    return texts.select(F.col("id").alias(id_col), F.col("page_url").alias(url_col), "text", "n_chars", "n_shared")
+    met = packed.join(found, "key", "left").select("id", "page_url", "lines", "kept", "n_site")
+    texts = met.mapInArrow(_texts, f"id {kinds['id']}, page_url {kinds['page_url']}, text string, n_chars bigint, n_site bigint")
+    return texts.select(F.col("id").alias(id_col), F.col("page_url").alias(url_col), "text", "n_chars", "n_site")

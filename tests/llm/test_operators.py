@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -280,12 +281,25 @@ def test_html_words_never_hide_the_whole_page():
     ):
         assert [x.text for x in htmltext.lines_of(page) if x.inside and x.mark == htmltext.PLAIN] == ["text"]
     assert [(x.text, x.mark) for x in htmltext.lines_of('<nav>n</nav><div class="sidebar-wrap"><p>text</p></div>')] == [("n", htmltext.SURE), ("text", htmltext.CALLED)]
+    wrapped = '<form><article class="post comments-open"><p>text</p><div class="no-comments">more</div></article><div id="comments"><p>c</p></div></form>'
+    assert [x.text for x in htmltext.lines_of(wrapped) if x.mark == htmltext.PLAIN] == ["text", "more"]
+
+
+def test_html_neighbours_decide_on_unnamed_slots():
+    page = lambda k: htmltext.lines_of(f"<nav>{k}</nav><div class='x1'>Buy {k}</div><article><p>Text {k} of the page</p></article><div>Own {k}</div><p class='x2'>{k}</p>")
+    mine, other = page(1), page(2)[:3]
+    parts = lambda p: ([htmltext._hash(x.text) for x in p], [htmltext._hash(x.slot) for x in p])
+    marks, sizes = [x.mark + 4 * x.inside for x in mine], [len(x.text) for x in mine]
+    alone, articles, met = htmltext.kept_lines(*parts(mine), marks, sizes, [])
+    assert alone == [1, 2, 3, 4] and articles and not met and htmltext.worded(alone, marks, articles, met) == [2]
+    kept, articles, met = htmltext.kept_lines(*parts(mine), marks, sizes, [parts(other)])
+    assert kept == htmltext.worded(kept, marks, articles, met) == [2, 3, 4] and met  # the slot of x1 is the site's
 
 
 def site_pages():
     """Pages with and without articles, mirrors, teasers, unlike menus, class words inside and outside of articles, repeated rows."""
     body = lambda menu, rest: f"<html><body><nav>{menu}</nav><div>Welcome to the site</div>{rest}<div class='ad'>Buy {menu}</div><div>All rights reserved</div><footer>{menu} &copy;</footer></body></html>"
-    story = [f"<article><h1>Head {k}</h1><p>{prose(k, 30)}</p><p class='related-work'>Others did {k}.</p><section id='search'>How to look for {k}</section><div class='comments'>I like {k}</div><p class='notice'>Notice {k}</p></article>" for k in range(6)]
+    story = [f"<article><h1>Head {k}</h1><p>{prose(k, 30)}</p><p class='related-work'>Others did {k}.</p><section id='search'>How to look for {k}</section><div class='user-comments'>I like {k}</div><section id='comments'><p>Me too {k}</p></section><p class='notice'>Notice {k}</p><div role='alert'>Alert {k}</div>{f'<div class=social>Social life {k}.</div>' if k % 2 else ''}</article>" for k in range(6)]
     plain = [f"<div>{prose(100 + k, 20)}</div><div>{prose(200 + k, 9)}</div>" for k in range(4)]
     teased = [f"<div>{prose(300 + k, 80)}</div><article class='card'><p>Read {k}</p></article>" for k in range(3)]
     quoted = "<article><p>The same passage is quoted here.</p><p>And mine follows.</p></article>"
@@ -297,7 +311,7 @@ def site_pages():
 
 
 def common_subsequence(a, b):
-    """One longest common subsequence, as indexes of a, by the plain table."""
+    """The plain table of longest common subsequences of what is left of a and b."""
     n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -305,6 +319,68 @@ def common_subsequence(a, b):
     return n
 
 
+def in_common(a, b):
+    """Indexes of a in one longest common subsequence."""
+    n, i, j, out = common_subsequence(a, b), 0, 0, []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append(i)
+            i, j = i + 1, j + 1
+        elif n[i + 1][j] >= n[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+class Cutter(HTMLParser):
+    """Blocks of a well-formed page by the standard library's parser: (text, what, in an article, slot); nothing of the operator's."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.blocks, self.stack, self.held = [], [], ""
+        self.feed(page or "")
+        self.cut()
+
+    def cut(self):
+        text = " ".join(self.held.split())
+        self.held = ""
+        if text:
+            kinds = [kind for _, kind, _ in self.stack]
+            what = next((k for k in ("element", "named", "called") if k in kinds), "plain")
+            self.blocks.append((text, what, any(n in ("article", "main") for n, _, _ in self.stack), "/".join(slot for _, _, slot in self.stack)))
+
+    def handle_starttag(self, name, attrs):
+        if name in ("b", "i", "br"):
+            self.held += " " if name == "br" else ""
+            return
+        self.cut()
+        given = dict(attrs)
+        words, inside = (given.get("class") or "").split(), any(n in ("article", "main") for n, _, _ in self.stack)
+        kind = "plain"
+        if name in ("nav", "footer", "aside", "form") or name == "header" and not inside or given.get("role") in ("alert", "navigation"):
+            kind = "element"
+        elif name in ("div", "section") and any("comment" in w for w in (*words, given.get("id") or "")) or "comment" in (given.get("id") or ""):
+            kind = "element"
+        elif any(w in ("ad", "notice") for w in words):
+            kind = "named"
+        elif any(w in ("social", "newsletter", "share-toolbar", "promo") for w in words):
+            kind = "called"
+        self.stack.append((name, kind, ".".join([name, *sorted(words)])))
+
+    def handle_endtag(self, name):
+        if name not in ("b", "i"):
+            self.cut()
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.held += data
+
+
+def runs(slots):
+    return [i for i in range(len(slots)) if not i or slots[i] != slots[i - 1]]
+
+
 def brute_text(pages, page):
     """The main text by the rules as told, over all pages of the host."""
     _, url, source = page
@@ -313,32 +389,36 @@ def brute_text(pages, page):
     first = {}
     for _, u, h in pages:
         if split(u)[0] == host:
-            look = tuple(htmltext.lines_of(h))
+            look = tuple(Cutter(h).blocks)
             first[look] = min(first.get(look, "\uffff"), split(u)[1])
-    mine = tuple(htmltext.lines_of(source))
+    mine = tuple(Cutter(source).blocks)
     ranked = sorted((p, look) for look, p in first.items())
     at = next(i for i, (_, look) in enumerate(ranked) if look == mine)
     near = [ranked[i] for i in (at - 1, at + 1) if 0 <= i < len(ranked)]
     alike = lambda p: next((i for i, (x, y) in enumerate(zip(p, ranked[at][0])) if x != y), min(len(p), len(ranked[at][0])))
     near.sort(key=lambda x: -alike(x[0]))
-    plain = [x for x in mine if x.mark == 0]
-    chosen = None
+    plain = [i for i, x in enumerate(mine) if x[1] == "plain"]
+    shared, places, met = set(), set(), False
     for _, other in near:
-        texts = {x.text for x in other}
-        if not plain or not all(x.text in texts for x in plain):  # texts of these fixtures come in one order
-            chosen = other
+        same = set(in_common([x[0] for x in mine], [x[0] for x in other]))
+        if not plain or not same.issuperset(plain):
+            a, b = runs([x[3] for x in mine]), runs([x[3] for x in other])
+            of_runs = in_common([mine[i][3] for i in a], [other[i][3] for i in b])
+            ends = [*a[1:], len(mine)]
+            shared, places, met = same, {i for k in of_runs for i in range(a[k], ends[k])}, True
             break
-    shared = {x.text for x in chosen} if chosen else set()
-    slots = {x.slot for x in chosen} if chosen else set()
-    inside = [x for x in plain if x.inside]
-    outside = sum(len(x.text) for x in plain if not x.inside and x.text not in shared)
-    article = bool(inside) and outside <= 3 * sum(len(x.text) for x in inside)
+    size = lambda some: sum(len(mine[i][0]) for i in some)
+    inside = [i for i in plain if mine[i][2]]
+    article = bool(inside) and size(i for i in plain if not mine[i][2] and i not in shared) <= 3 * size(inside)
     out = []
-    for x in mine:
-        region = x.inside if article else not x.inside or not inside
-        gone = x.mark == 2 or (x.mark == 1 and (x.text in shared or x.slot in slots if chosen is not None else not x.inside)) or (x.mark == 0 and not x.inside and x.text in shared)
-        if region and not gone:
-            out.append(x.text)
+    for i, (text, what, within, _) in enumerate(mine):
+        if what in ("element", "named") or within and inside and not article:
+            continue
+        if what == "called" and (not within or i in shared or i in places):
+            continue
+        if not within and (i in shared or article and (i in places or not met)):
+            continue
+        out.append(text)
     return "\n\n".join(out)
 
 
@@ -349,8 +429,8 @@ def test_html_against_brute_force(spark, monkeypatch, a_range):
     got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {p[0]: brute_text(pages, p) for p in pages}
     # what the rules come to: stories whole, with their own class words, but without the readers' comments
-    assert got[22] == f"Head 5\n\n{prose(5, 30)}\n\nOthers did 5.\n\nHow to look for 5"  # a page with such a notice is beside it
-    assert got[0] == f"Head 0\n\n{prose(0, 30)}\n\nOthers did 0.\n\nHow to look for 0\n\nNotice 0"
+    assert got[22] == f"Head 5\n\n{prose(5, 30)}\n\nOthers did 5.\n\nHow to look for 5\n\nSocial life 5."  # the page beside it has no such passage
+    assert got[0] == f"Head 0\n\n{prose(0, 30)}\n\nOthers did 0.\n\nHow to look for 0"
     assert got[4] == got[13] == f"{prose(100, 20)}\n\n{prose(200, 9)}"  # a mirror deletes nothing
     assert got[8] == prose(300, 80)  # and not its teaser
     assert got[11].startswith("The same passage") and got[12].endswith("And yours follows.")
