@@ -14,16 +14,14 @@ from docloom.llm.common import drop_scratch, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    """A node's smallest neighbour is needed for the smaller ends alone, as only links to larger nodes move; a > b in all links."""
+    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+    return links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    joined = links.join(least, "a")
-    down = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return links.join(least, "a").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _mark(links: DataFrame) -> tuple:
