@@ -3,12 +3,13 @@
 The bytes of a text are read in segments, forwards and backwards, by gated units with
 clipped-linear gates; every position gets a probability for each language, and a document's are
 the means over all its positions.  The network is trained with numpy by backpropagation
-through time on a bounded sample of the labelled documents that are not held out, drawn
-evenly over languages; nothing but the text is read for a prediction.
+through time on segments of the labelled documents that are not held out: as many as its steps take, drawn
+by hashes from all segments of all those texts, evenly over languages; nothing but the text is read for a prediction.
 
-Defined cases: a null text, one without a letter, or any text where nothing could be
-learned is `und` with score 0; equal texts get equal predictions; of equally likely
-languages the first in order is taken; an empty table gives no rows; further columns are not read.
+Defined cases: a null text, an empty one or one without a letter, or any text where nothing could be
+learned is `und` with score 0; a very long text is read whole, segment by segment, and may be drawn from at every place;
+equal texts get equal predictions; repeated rows are rows of their own, but what they repeat is learned from once; of equally likely
+languages the first in order is taken; an empty table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents, over all languages, that training may read, and segments of each.
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 4000, 4
 #: Bytes of a segment, and units of the network in each direction.
 SEGMENT, UNITS = 48, 12
 #: Training: steps, segments a step, rate, seed.
 STEPS, BATCH, RATE, SEED = 150, 256, 0.02, 7
+#: Segments, over all languages, that are drawn for training on average: the bound of the sample.
+SAMPLE_SEGMENTS = STEPS * BATCH
 #: Segments that are read together.
 TOGETHER = 8192
 #: Every fifth document by the CRC-32 of its id is held out.
@@ -206,26 +207,33 @@ def held_out(doc_id: Column) -> Column:
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            raw = text.encode()
-            steps = max(1, min(SAMPLE_SEGMENTS, len(raw) // SEGMENT))
-            for k in range(steps):
-                at = k * max(0, len(raw) - SEGMENT) // max(1, steps - 1)
-                rows.append((lang, raw[at : at + SEGMENT]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "segment"])
+        langs, cut = [], []
+        for lang, text, places in zip(*(batch.column(c) for c in ("lang", "text", "places"))):
+            raw, at = text.as_py().encode(), places.as_py()
+            langs += [lang.as_py()] * len(at)
+            cut += [raw[k * SEGMENT : (k + 1) * SEGMENT] for k in at]
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cut, pa.binary())], names=["lang", "segment"])
 
 
-def learn(docs: DataFrame) -> Network | None:
-    """Train on a sample of docs (doc_id, text, lang), about as many of each language, by a hash of the id."""
+def training_segments(docs: DataFrame) -> DataFrame:
+    """lang and segment: about SAMPLE_SEGMENTS of all segments of docs that may be learned from, about as many of each language."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").count().collect()}
+    held = usable.select("lang", "text", F.ceil(F.octet_length("text") / SEGMENT).alias("n"), F.xxhash64(F.lit("sample"), "doc_id", "text").alias("of_row"))
+    counts = {r["lang"]: r["n"] for r in held.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not counts:
-        return None
-    each = max(1, SAMPLE_DOCS // len(counts))
+        return held.select("lang", F.lit(b"").alias("segment"))
+    each = max(1, SAMPLE_SEGMENTS // len(counts))
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    rows = sorted((r["lang"], bytes(r["segment"])) for r in drawn.select("lang", "text").mapInArrow(_cut_segments, "lang string, segment binary").collect())
+    parts = 1 << 32
+    bound = held.withColumn("bound", (share[F.col("lang")] * parts).cast("long"))
+    places = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.pmod(F.xxhash64("of_row", k), F.lit(parts)) < F.col("bound"))
+    drawn = bound.select("lang", "text", places.alias("places")).where(F.size("places") > 0)
+    return drawn.mapInArrow(_cut_segments, "lang string, segment binary").distinct()
+
+
+def learn(docs: DataFrame) -> Network | None:
+    """Train on segments of docs (doc_id, text, lang)."""
+    rows = sorted((r["lang"], bytes(r["segment"])) for r in training_segments(docs).collect())
     return train([s for _, s in rows], [lang for lang, _ in rows])
 
 

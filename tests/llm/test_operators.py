@@ -690,3 +690,43 @@ def test_language_id(spark, empty):
     assert langid.learn(docs.limit(0)) is None
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
     assert langid.identify(docs.limit(0), net).count() == 0
+
+
+def brute_pooled(net, raw):
+    """Mean probabilities over all bytes of a text, one byte and one unit's sum at a time, by the formulas."""
+    w, h, step = {k: v.astype(float) for k, v in net.weights.items()}, langid.UNITS, langid.SEGMENT
+    total = np.zeros(len(net.labels))
+    for piece in (raw[k : k + step] for k in range(0, len(raw), step)):
+        states = {}
+        for d in "fb":
+            state, states[d] = np.zeros(h), {}
+            for t in range(len(piece)) if d == "f" else reversed(range(len(piece))):
+                given, own, c = w[f"x{d}"][piece[t]], state @ w[f"u{d}"], w[f"c{d}"]
+                reset, update = (np.clip(0.25 * (given[a : a + h] + c[a : a + h] + own[a : a + h]) + 0.5, 0, 1) for a in (0, h))
+                new = np.clip(given[2 * h :] + reset * (own[2 * h :] + c[2 * h :]), -1, 1)
+                state = update * state + (1 - update) * new
+                states[d][t] = state
+        for t in range(len(piece)):
+            p = np.exp(states["f"][t] @ w["vf"] + states["b"][t] @ w["vb"] + w["o"])
+            total += p / p.sum()
+    return total / len(raw)
+
+
+def test_language_id_reads_whole_texts(spark, monkeypatch):
+    texts = [prose(k, 25) for k in range(6)] + [prose(7, 600), "é", "river " * 8 + "x"]
+    net = langid.Network(["a", "b", "c"], seed=3)
+    langs, scores = langid.predict(net, pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        p = brute_pooled(net, text.encode())
+        assert lang == net.labels[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-5)
+    # segments of training: all places of all texts may be drawn, what repeats is learned from once, held-out rows never
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    data = [(k, prose(1000 + k, 50), "en" if k % 2 else "fr", "x") for k in range(60)] + [(ids[0], prose(1000 + ids[0], 50), "en" if ids[0] % 2 else "fr", "y")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, places string")
+    cut = lambda t: {t.encode()[k : k + langid.SEGMENT] for k in range(0, len(t.encode()), langid.SEGMENT)}
+    got = [bytes(r["segment"]) for r in langid.training_segments(docs).collect()]
+    assert sorted(got) == sorted(set().union(*[cut(t) for k, t, _, _ in data if k in ids]))
+    monkeypatch.setattr(langid, "SAMPLE_SEGMENTS", 60)
+    few = [(r["lang"], bytes(r["segment"])) for r in langid.training_segments(docs).collect()]
+    assert 30 <= len(few) <= 100 and {s for _, s in few} <= set(got) and {lang for lang, _ in few} == {"en", "fr"}
+    assert sorted(few) == sorted((r["lang"], bytes(r["segment"])) for r in langid.training_segments(docs.repartition(5)).collect())
