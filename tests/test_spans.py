@@ -185,6 +185,14 @@ def test_alias_chains(spark):
     assert got == want | {"gone": ("missing", None, 1), "dot": ("found", "page", 1)}
 
 
+def test_chains_that_come_into_a_cycle_late(spark):
+    """After 16 hops these are still before a cycle, whose least page is below all that they pass."""
+    to = {i: i - 1 for i in range(101, 121)} | {100: 1, 1: 2, 2: 1}
+    frame = spark.createDataFrame(list(to.items()), "node long, to long")
+    got = {r["node"]: (r["status"], r["target"], r["hops"]) for r in aliases.alias_targets(frame.select("node"), frame).collect()}
+    assert got == {i: ("too-long" if i > 115 else "cycle", None, 16) for i in to}
+
+
 def test_subtree_totals_and_breadcrumbs(spark):
     rng = random.Random(4)
     rows = [(d, i, rng.randrange(1, 7), rng.randrange(10) if i % 5 else None) for d in range(6) for i in range(d * 9)]
