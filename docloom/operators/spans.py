@@ -197,8 +197,8 @@ def placed(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.join(at, ["doc_key", "nth"])
 
 
-def grouped_hits(places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Neighbouring occurrences of the same lines and owner as one hit: ordinal and occurrence_count beside each of the first MAX_OCCURRENCES of them.
+def all_hits(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Neighbouring occurrences of the same lines and owner as one hit: node and ordinal beside each occurrence.
 
     places: as of :func:`placed`.  nodes: doc_key, start, stop, node, without overlap. An occurrence that no node owns is dropped.
     """
@@ -206,10 +206,15 @@ def grouped_hits(places: DataFrame, nodes: DataFrame) -> DataFrame:
     owned = latest(places.withColumn("at", F.col("start")), marks).where("at < mark.stop").withColumn("node", F.col("mark.node")).drop("at", "mark")
     order = Window.partitionBy("doc_key").orderBy("start")
     same = reduce(lambda a, c: a & (F.lag(c).over(order) == F.col(c)), ["start_line", "end_line", "node"], F.lit(True))
-    owned = owned.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("ordinal", F.sum("_new").over(order).cast("long"))
+    return owned.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("ordinal", F.sum("_new").over(order).cast("long")).drop("_new")
+
+
+def grouped_hits(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As :func:`all_hits`, with place and occurrence_count; of a hit the first MAX_OCCURRENCES occurrences."""
+    owned = all_hits(places, nodes)
     hit = Window.partitionBy("doc_key", "ordinal")
     owned = owned.withColumn("occurrence_count", F.count(F.lit(1)).over(hit)).withColumn("place", F.row_number().over(hit.orderBy("start")).cast("long"))
-    return owned.where(F.col("place") <= MAX_OCCURRENCES).drop("_new")
+    return owned.where(F.col("place") <= MAX_OCCURRENCES)
 
 
 def context_windows(hits: DataFrame, lines: DataFrame, n: int) -> DataFrame:

@@ -125,6 +125,16 @@ def test_context_windows(spark):
     assert marks == {(1, 3): [2, 5], (1, 6): [1], (1, 7): [1], (1, 8): [1], (2, 8): [9], (3, 20): [4], (3, 25): [1], (3, 26): [1], (3, 30): [7]}
 
 
+def test_context_windows_name_all_columns(spark, tmp_path):
+    """A line with more matches than a hit shows."""
+    from docloom.plans.sweeps import QUERIES
+
+    n = 2 * spans.MAX_OCCURRENCES + 3
+    spark.createDataFrame([(1, "one\n" + "on." * n + "\nlast")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["search_context_windows"](spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r["line_no"], r["matched"], r["columns"]) for r in got] == [(1, False, None), (2, True, ",".join(str(3 * i + 1) for i in range(n))), (3, False, None)]
+
+
 def held_by(intervals, doc, pos):
     found = [(s, o, n) for d, s, e, o, n in intervals if d == doc and s <= pos < e]
     return max(found)[2] if found else None
