@@ -220,3 +220,20 @@ def test_escapes(spark):
     rows = [(r"a_b_c _d_ \ `x` *y* [z](w) <&amp;> $1", "a b(c)\\"), (None, None), ("", "")]
     got = spark.createDataFrame(rows, "t string, u string").select(T.escape_markdown(F.col("t")), T.link_target(F.col("u"))).collect()
     assert [tuple(r) for r in got] == [(r"a_b_c \_d\_ \\ \`x\` \*y\* \[z\](w) \<&amp;amp;\> \$1", r"a%20b\(c\)" + "\\\\"), (None, None), ("", "")]
+
+
+def test_parsed_rows_are_held_in_small_pieces():
+    """A batch of Spark's has up to 10,000 documents; what leaves the parser is bounded by their bytes, whatever the batch."""
+    import pyarrow as pa
+
+    from docloom.plans import index
+
+    body = b"# T\n\n## One\n\n- `--all`: everything\n\n" + b"word " * 2_000
+    contents = [body] * 300 + [None, b"", b"x " * index.PARSED_BYTES] + [body] * 3
+    keys = [str(k) for k in range(len(contents))]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(["markdown"] * len(keys)), pa.array(contents, pa.binary())], names=["doc_key", "format", "content"])
+    out = list(index._parsed(iter([batch])))
+    assert [k for b in out for k in b.column(0).to_pylist()] == keys
+    sizes = [[len(contents[int(k)] or b"") for k in b.column(0).to_pylist()] for b in out]
+    assert all(len(x) == 1 or sum(x) <= index.PARSED_BYTES for x in sizes) and len(out) > 3
+    assert list(index._parsed(iter([batch.slice(0, 0)])))[0].num_rows == 0
