@@ -14,6 +14,10 @@ them and join those that are similar, so a large group of near copies costs abou
 their pairs; then all remaining pairs of texts that are in different groups are compared.  Connected
 components of the links are the groups.
 
+Before texts move, pairs are held against sketches: a bit for every residue of the hashes, the parity of its shingles. Sets
+differ in at least as many shingles as their sketches in bits, so a pair with too many of them is not similar for certain
+and its texts stay where they are; the others are compared as whole sets as before.
+
 Defined cases: texts without words, null ones too, are copies of each other; a text of fewer
 words than a shingle is one shingle; repeated rows are copies; a very long text is one row with all its
 shingles; a null doc_id is kept only where a group has no other; an empty table gives no rows; further
@@ -28,7 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import simhash
@@ -67,6 +71,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(hashed_shingles(text).astype(np.int64))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of distinct hashes by their lowest bits, in the least power of two of bits, 64 or more, that is no less than their number."""
+    bits = 64 << max(0, (len(hashes) - 1 >> 6).bit_length())
+    return np.packbits(np.bincount((hashes & (bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Shingles, at least, that only one of the sets of two sketches has; the longer one is folded to the size of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    folded = np.bitwise_xor.reduce(np.frombuffer(a, np.uint8).reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(folded ^ np.frombuffer(b, np.uint8)).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))
@@ -86,13 +104,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(common: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, prefixes, prints = [], [], [], []
+            digests, sizes, prefixes, prints, sketches = [], [], [], [], []
             for text in batch.column("_text"):
                 every = hashed_shingles(text.as_py())
                 prints.append(simhash.majority(every.view(np.uint8).reshape(-1, 8)))
                 found = np.unique(every.astype(np.int64))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
+                sketches.append(sketch(found))
                 often = np.zeros(len(found), np.int64)
                 if len(common) and len(found):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
@@ -100,8 +119,8 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
                 prefixes.append(found[np.lexsort((found, often))][: len(found) // 5 + 1])
             kept = [c for c in batch.schema.names if c != "_text"]
             fps = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, "digest", "size", "prefix", "fp"])
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, "digest", "size", "prefix", "fp", "sketch"])
 
     return run
 
@@ -116,6 +135,13 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, n, own, other), n the size of both sets, the pairs whose sketches allow a similarity of 0.8."""
+    for batch in batches:
+        held = [9 * least_difference(x, y) <= n for n, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "own", "other")))]
+        yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, part, row, text) in order, those of one a and part together with that of a itself first: the similar (a, row)."""
     now, of_a = None, np.empty(0, np.int64)
@@ -132,11 +158,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets have a similarity of 0.8 or more.
 
-    The texts b come to a in parts of about A_PART, each with the text a; only texts that are asked for move.
+    Most pairs end at their sketches (row, size, sketch).  The texts b come to a in parts of about A_PART, each with the text a; only texts that are asked for move.
     """
+    own, other = (sketches.select(F.col("row").alias(c), F.col("size").alias(f"n_{c}"), F.col("sketch").alias(v)) for c, v in (("a", "own"), ("b", "other")))
+    met = pairs.join(own, "a").join(other, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "own", "other")
+    pairs = materialize(met.mapInArrow(_promising, "a bigint, b bigint"), "promising")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / A_PART).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     asked = materialize(dealt.select("a", "part", F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
@@ -144,6 +173,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ordered = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("row") != F.col("a"))
     found = materialize(ordered.mapInArrow(_compared, "a bigint, b bigint"), "similar")
     drop_scratch(asked)
+    drop_scratch(pairs)
     return found
 
 
@@ -165,13 +195,13 @@ def _grouped(index: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
-    """Links (a, b) whose components are those of all similar pairs; sets has row, size, prefix, fp, texts has row, text."""
+    """Links (a, b) whose components are those of all similar pairs; sets has row, size, prefix, fp, sketch, texts has row, text."""
+    sketches = materialize(sets.select("row", "size", "sketch"), "sketches")
     tried = proposed(sets.select("row", "fp"), max_bits)
-    tree = contracted(_similar(tried, texts), STARS)
+    tree = contracted(_similar(tried, sketches, texts), STARS)
     # a shingle that two texts have leads on; one row holds a text's place and size in eight bytes
     rows = sets.select("row", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "row", F.expr("shiftleft(size, 32) | pos").alias("at"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    met = rows.join(often, "h", "left_semi")
+    met = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
     index = materialize(met.select("h", "row", F.expr("shiftright(at, 32)").alias("size"), F.expr("cast(at & 4294967295 as int)").alias("pos")), "index")
     for k in range(ROUNDS + 1):
         # shingles that are out stay out, as groups only grow
@@ -181,31 +211,34 @@ def links(sets: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
         by_root = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
         by_shingle = by_root.groupBy("h").agg(F.sum("n").alias("n"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
         left = by_shingle.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if k == ROUNDS or (left["pairs"] or 0) <= PAIRS_A_ROW * (left["n"] or 0):
+        pairs_left = left["pairs"] or 0
+        # where a round leaves most pairs, they are of different groups and another one would, too
+        if k == ROUNDS or pairs_left <= PAIRS_A_ROW * (left["n"] or 0) or (k and 2 * pairs_left > before):
             break
+        before = pairs_left
         text = F.struct("row", "size", "pos", "root")
         one = now.groupBy("h").agg(F.min_by(text, F.xxhash64("row", F.lit(k))).alias("m"))
         met = now.select("h", text.alias("o")).join(one, "h").where("o.root <> m.root").where(_possible("o", "m"))
         pairs = met.select(F.col("m.row").alias("a"), F.col("o.row").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        then = contracted(tree.unionByName(_similar(pairs, texts)), STARS)
+        then = contracted(tree.unionByName(_similar(pairs, sketches, texts)), STARS)
         drop_scratch(tree)
         tree = then
     pairs = now.alias("o").join(now.alias("m"), "h").where("o.row < m.row AND o.root <> m.root").where(_possible("o", "m"))
     pairs = pairs.select(F.col("o.row").alias("a"), F.col("m.row").alias("b")).distinct()
     pairs = pairs.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    return tree.unionByName(_similar(materialize(pairs, "pairs"), texts))
+    return tree.unionByName(_similar(materialize(pairs, "pairs"), sketches, texts))
 
 
 def drop_similar(docs: DataFrame, max_bits: int) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns."""
     held = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["text"].alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_text")
-    rows = materialize(held.mapInArrow(_prefixes(*common_shingles(docs)), f"{kept}, digest binary, size bigint, prefix array<bigint>, fp bigint"), "prefixes")
+    rows = materialize(held.mapInArrow(_prefixes(*common_shingles(docs)), f"{kept}, digest binary, size bigint, prefix array<bigint>, fp bigint, sketch binary"), "prefixes")
     order = F.struct(F.col("_doc.doc_id").isNull().alias("no_id"), F.col("_doc.doc_id").alias("id"), F.col("row").alias("row"))
     first = materialize(rows.groupBy("digest").agg(F.min(order).alias("first")).select("first", F.col("first.row").alias("row")), "distinct")
-    sets = rows.select("row", "size", "prefix", "fp").join(first.select("row"), "row", "left_semi")
+    sets = rows.select("row", "size", "prefix", "fp", "sketch").join(first.select("row"), "row", "left_semi")
     texts = rows.select("row", F.col("_doc.text").alias("text"))
     roots = components(links(sets, texts, max_bits)).withColumnRenamed("node", "row")
     named = first.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))

@@ -730,3 +730,23 @@ def test_language_id_reads_whole_texts(spark, monkeypatch):
     few = [(r["lang"], bytes(r["segment"])) for r in langid.training_segments(docs).collect()]
     assert 30 <= len(few) <= 100 and {s for _, s in few} <= set(got) and {lang for lang, _ in few} == {"en", "fr"}
     assert sorted(few) == sorted((r["lang"], bytes(r["segment"])) for r in langid.training_segments(docs.repartition(5)).collect())
+
+
+def test_sketches_never_part_similar_texts():
+    """What two sketches differ in is no more than what the sets do, and most pairs that are not similar end there."""
+    from docloom.llm import similar
+
+    rng = np.random.default_rng(5)
+    ended = 0
+    for k in range(400):
+        n = int(rng.integers(0, 700))
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        shared = a[: int(len(a) * rng.random())]
+        b = np.unique(np.concatenate([shared, rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, 2 * n + 1)))]))
+        apart = len(np.setxor1d(a, b))
+        least = similar.least_difference(similar.sketch(a), similar.sketch(b))
+        assert least == similar.least_difference(similar.sketch(b), similar.sketch(a)) <= apart
+        ended += 9 * least > len(a) + len(b)
+        assert 9 * least <= len(a) + len(b) or 9 * len(np.intersect1d(a, b)) < 4 * (len(a) + len(b))
+    assert ended > 300
+    assert similar.least_difference(similar.sketch(np.empty(0, np.int64)), similar.sketch(np.arange(200))) <= 200
