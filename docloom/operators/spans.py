@@ -26,6 +26,8 @@ REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp"
 EXPANDING = {chr(i): chr(i).casefold() for i in range(0x110000) if len(chr(i).casefold()) > 1}
 #: Characters whose folding is one other than their lower case; the lower case of a final sigma is among them.
 _OTHER = {x: x.casefold() for x in sorted({chr(i).lower() for i in range(0x110000)} | set("ς")) if len(x) == 1 == len(x.casefold()) and x.casefold() != x}
+#: Characters of Latin-1 that become no others or several once they are lower case.
+_LATIN = {c: c for c in map(chr, range(0x100)) if c not in EXPANDING and c not in _OTHER}
 
 
 def _class_of(characters: dict[str, str]) -> str:
@@ -50,11 +52,13 @@ def occurrences(docs: DataFrame, pattern: Pattern) -> DataFrame:
     work is linear in its matches.
     """
     cut = docs.where(pattern.matches(F.col("text"))).select("doc_key", F.split("text", pattern.java, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern.java), F.lit(0)).alias("matched"))
-    rows = cut.select("doc_key", F.posexplode(F.arrays_zip("gap", "matched")).alias("n", "p")).select("doc_key", "n", "p.gap", "p.matched")
+    each = cut.select("doc_key", F.posexplode(F.arrays_zip("gap", "matched")).alias("n", "p"))
+    # only lengths and matches are put in order, the stretches between them stay behind
+    gap, match = F.col("p.gap"), F.col("p.matched")
+    size, size_char = _bytes(gap) + F.coalesce(_bytes(match), F.lit(0)), F.length(gap) + F.coalesce(F.length(match), F.lit(0))
+    rows = each.select("doc_key", "n", match.alias("matched"), size.alias("size"), size_char.alias("size_char"))
     upto = Window.partitionBy("doc_key").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum(_bytes("gap") + F.coalesce(_bytes("matched"), F.lit(0))).over(upto)
-    stop_char = F.sum(F.length("gap") + F.coalesce(F.length("matched"), F.lit(0))).over(upto)
-    rows = rows.withColumn("stop", stop).withColumn("stop_char", stop_char).where("matched IS NOT NULL")
+    rows = rows.withColumn("stop", F.sum("size").over(upto)).withColumn("stop_char", F.sum("size_char").over(upto)).where("matched IS NOT NULL")
     return rows.select(
         "doc_key", (F.col("n") + 1).cast("long").alias("nth"), "matched", (F.col("stop") - _bytes("matched")).alias("start"), "stop", (F.col("stop_char") - F.length("matched")).alias("start_char"), "stop_char"
     )
@@ -93,9 +97,10 @@ def mapped_spans(hits: DataFrame, segments: DataFrame) -> DataFrame:
 def _mapped(tokens: DataFrame, size) -> DataFrame:
     """Segments from tokens (doc_key, n, token, shown, linear) in order; size measures both texts."""
     upto = Window.partitionBy("doc_key").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    laid = tokens.withColumn("source_stop", F.sum(size("token")).over(upto)).withColumn("stop", F.sum(size("shown")).over(upto))
-    return laid.where("shown <> ''").select(
-        "doc_key", "n", (F.col("stop") - size("shown")).alias("start"), "stop", (F.col("source_stop") - size("token")).alias("source_start"), "source_stop", "linear", F.col("shown").alias("text")
+    measured = tokens.select("doc_key", "n", "linear", "shown", size("token").alias("n_token"), size("shown").alias("n_shown"))
+    laid = measured.withColumn("source_stop", F.sum("n_token").over(upto)).withColumn("stop", F.sum("n_shown").over(upto))
+    return laid.where("n_shown > 0").select(
+        "doc_key", "n", (F.col("stop") - F.col("n_shown")).alias("start"), "stop", (F.col("source_stop") - F.col("n_token")).alias("source_start"), "source_stop", "linear", F.col("shown").alias("text")
     )
 
 
@@ -139,19 +144,23 @@ def visible_spans(pages: DataFrame, pattern: Pattern) -> DataFrame:
 
 def _longer(token: Column) -> Column:
     """What a character becomes if that is several, else null."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in EXPANDING.items() for x in kv]), token)
+    return F.when(F.octet_length(token) <= 4, F.element_at(F.create_map(*[F.lit(x) for kv in EXPANDING.items() for x in kv]), token))
 
 
 def _fold_tokens(text: Column) -> Column:
-    """A text cut in characters that become several and runs of others."""
-    special = _class_of(EXPANDING)
-    return F.regexp_extract_all(text, F.lit(f"[{special}]|[^{special}]+"), F.lit(0))
+    """A text cut in characters that become several and runs of others; runs of Latin-1 are apart, as they need no look at the long class."""
+    special, latin = _class_of(EXPANDING), _class_of(_LATIN)
+    return F.regexp_extract_all(text, F.lit(f"[{latin}]++|[{special}]|[^{special}{latin}]+"), F.lit(0))
 
 
 def case_folded(text: Column) -> Column:
     """Full case folding of a text."""
-    one = F.translate(F.lower(text), "".join(_OTHER), "".join(_OTHER.values()))
-    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.array_join(F.transform(_fold_tokens(one), lambda t: F.coalesce(_longer(t), t)), ""))
+    low = F.lower(text)
+    one = F.translate(low, "".join(_OTHER), "".join(_OTHER.values()))
+    slow = F.array_join(F.transform(_fold_tokens(one), lambda t: F.coalesce(_longer(t), t)), "")
+    # few texts hold more than lower case and the sharp s, and these need no look at every run of them
+    rare = f"(?=[^{_class_of(_LATIN)}])[{_class_of({c: v for c, v in (EXPANDING | _OTHER).items() if c != 'ß'})}]"
+    return F.when(F.length(text) == F.octet_length(text), low).when(low.rlike(rare), slow).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def folded_segments(docs: DataFrame) -> DataFrame:
@@ -179,10 +188,10 @@ def folded_matches(docs: DataFrame, needle: str) -> DataFrame:
 
 def line_starts(docs: DataFrame) -> DataFrame:
     """doc_key, line_no, at, start_char of every line of texts (doc_key, text)."""
-    lines = docs.select("doc_key", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    lines = docs.select("doc_key", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).select("doc_key", "n", F.octet_length("line").alias("size"), F.length("line").alias("size_char"))
     before = Window.partitionBy("doc_key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.coalesce(F.sum(c + 1).over(before), F.lit(0)).cast("long")
-    return lines.select("doc_key", (F.col("n") + 1).cast("long").alias("line_no"), total(F.octet_length("line")).alias("at"), total(F.length("line")).alias("start_char"))
+    total = lambda c: F.coalesce(F.sum(F.col(c) + 1).over(before), F.lit(0)).cast("long")
+    return lines.select("doc_key", (F.col("n") + 1).cast("long").alias("line_no"), total("size").alias("at"), total("size_char").alias("start_char"))
 
 
 def placed(found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -114,6 +114,19 @@ def test_folded_search(spark):
         assert rows_of(spans.folded_matches(docs, needle), "doc_key", "hit", "start_char", "stop_char") == sorted(want, key=repr), needle
 
 
+def test_only_lengths_are_put_in_order(spark):
+    """Case folding is Python's for texts of all sorts, and the windows that lay segments out get lengths, not the texts."""
+    texts = ["".join(map(chr, range(a, min(a + 5_000, 0xD800)))) for a in range(1, 0xD800, 5_000)] + ["é ß à", "µ", "ſ é", "ẞ", "Œuvre ß", "ﬀ\xff", "ς", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string")
+    low = {r["doc_key"]: (r["text"], r["f"]) for r in docs.withColumn("f", spans.case_folded(F.col("text"))).where("doc_key > 11").collect()}
+    assert all(f == t.casefold() for t, f in low.values()) and len(low) == 8
+    segments = spans.folded_segments(docs)
+    assert {r["doc_key"]: r["text"] for r in spans.texts_of(segments).collect()} == {k: "".join(spans.EXPANDING.get(c, c) for c in t) for k, t in enumerate(texts) if t}
+    # above the windows nothing is measured any more, so no text had to come along
+    above, window, _ = segments.drop("text")._jdf.queryExecution().optimizedPlan().toString().partition("Window [")
+    assert window and "length(" not in above
+
+
 def test_context_windows(spark):
     lines = spark.createDataFrame([(1, i, f"line {i}") for i in range(1, 31)], "doc_key long, line_no long, text string")
     hits = [(1, 1, "a", 3, 3, [5, 2]), (1, 2, "a", 6, 8, [1]), (1, 3, "b", 8, 8, [9]), (1, 4, "b", 20, 20, [4, 4]), (1, 5, "b", 25, 26, [1]), (1, 6, "b", 30, 30, [7])]
