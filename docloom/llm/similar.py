@@ -9,9 +9,12 @@ Sets of that similarity may differ in more bits than any search can bridge (at 0
 remaining pairs come from an index that misses none: all shingles get one order, the rare ones first, and sets of n
 shingles that are so similar share one of their first n // 5 + 1 in that order.  How rare a
 shingle is comes from a sample of texts, which changes the time only.  Shingles whose texts are all in one
-group already are left out.  Rounds compare all texts under a shingle with one of
+group already are left out, and so are texts under a shingle that no text of another group there can be similar to,
+by their sizes and the shingle's places in both.  Rounds compare all texts under a shingle with one of
 them and join those that are similar, so a large group of near copies costs about its members and not
-their pairs; then all remaining pairs of texts that are in different groups are compared.  Connected
+their pairs; then all remaining pairs of texts that are in different groups are compared.  The one text is that with the fewest shingles
+before the shared one: copies have words of their own, which are rare and come first, so it is the text they were made from,
+or the nearest to it; every other round takes any text.  Connected
 components of the links are the groups.
 
 Before texts move, pairs are held against sketches: a bit for every residue of the hashes, the parity of its shingles. Sets
@@ -43,7 +46,7 @@ from docloom.llm.components import components, contracted, neighbours
 SHINGLE, SEED = 5, 42
 #: Texts of the sample, and the shingles that are taken from it as common ones.
 SAMPLE, COMMON = 20_000, 100_000
-#: Rounds with one text a shingle at most, and the pairs a row of the index that are left without another round.
+#: Rounds with one text a shingle at most, and the pairs a text that are left without another round.
 ROUNDS, PAIRS_A_ROW = 4, 4
 #: Rounds of the components' stars between two such rounds; groups that are found in part there leave pairs to compare, but lose none.
 STARS = 2
@@ -186,12 +189,21 @@ def proposed(sets: DataFrame, max_bits: int) -> DataFrame:
     return materialize(equal.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "proposed")
 
 
+def _open(index: DataFrame) -> DataFrame:
+    """The index less shingles whose texts are of one root, and less texts that can be similar to none under their shingle (see _possible)."""
+    spare = F.expr("5 * size - 9 * pos")
+    ends = index.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("size").alias("least"), F.max(spare).alias("spare")).where("r0 < r1")
+    return index.join(ends, "h").where("5 * size - 9 * pos >= 4 * least AND 4 * size <= spare").select(*index.columns)
+
+
 def _grouped(index: DataFrame, tree: DataFrame) -> DataFrame:
-    """The index with the group of each text as far as known, less shingles whose texts are all in one group."""
+    """The index with the group of each text as far as known, less what can give no pair of different groups."""
     roots = neighbours(tree).withColumnRenamed("node", "row")
     named = index.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    mixed = named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
-    return named.join(mixed, "h", "left_semi")
+    first = materialize(_open(named), "open")
+    found = materialize(_open(first), "grouped")
+    drop_scratch(first)
+    return found
 
 
 def links(sets: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
@@ -203,21 +215,22 @@ def links(sets: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
     rows = sets.select("row", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "row", F.expr("shiftleft(size, 32) | pos").alias("at"))
     met = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
     index = materialize(met.select("h", "row", F.expr("shiftright(at, 32)").alias("size"), F.expr("cast(at & 4294967295 as int)").alias("pos")), "index")
+    enough, before = PAIRS_A_ROW * sketches.count(), []
     for k in range(ROUNDS + 1):
-        # shingles that are out stay out, as groups only grow
-        now = materialize(_grouped(index, tree), "grouped")
+        # what is out stays out, as groups only grow
+        now = _grouped(index, tree)
         drop_scratch(index)
         index = now.drop("root")
         by_root = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
-        by_shingle = by_root.groupBy("h").agg(F.sum("n").alias("n"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        left = by_shingle.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        pairs_left = left["pairs"] or 0
-        # where a round leaves most pairs, they are of different groups and another one would, too
-        if k == ROUNDS or pairs_left <= PAIRS_A_ROW * (left["n"] or 0) or (k and 2 * pairs_left > before):
+        by_shingle = by_root.groupBy("h").agg(((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        pairs_left = by_shingle.agg(F.sum("pairs").alias("pairs")).first()["pairs"] or 0
+        # where both kinds of rounds leave most pairs, they are of different groups and others would, too
+        if k == ROUNDS or pairs_left <= enough or (k > 1 and 2 * pairs_left > before[k - 2]):
             break
-        before = pairs_left
+        before.append(pairs_left)
         text = F.struct("row", "size", "pos", "root")
-        one = now.groupBy("h").agg(F.min_by(text, F.xxhash64("row", F.lit(k))).alias("m"))
+        order = F.struct(F.lit(0) if k % 2 else F.col("pos"), F.xxhash64("row", F.lit(k)))
+        one = now.groupBy("h").agg(F.min_by(text, order).alias("m"))
         met = now.select("h", text.alias("o")).join(one, "h").where("o.root <> m.root").where(_possible("o", "m"))
         pairs = met.select(F.col("m.row").alias("a"), F.col("o.row").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")

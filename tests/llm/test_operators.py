@@ -566,6 +566,33 @@ def test_similar_texts_of_the_stage(spark, docs, empty, monkeypatch):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def test_a_large_group_costs_its_members_not_its_pairs(spark, monkeypatch):
+    from docloom.llm import similar
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for i in range(300):  # up to three words changed are near copies of the base, but not of each other; with more they are of nothing
+        copy = list(base)
+        for j, at in enumerate(rng.sample(range(150), rng.randint(1, 6))):
+            copy[at] = f"c{i}x{j}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets, up = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = up[i], up[j]
+                up = [new if x == old else x for x in up]
+    least = sorted(min(i for i in range(len(up)) if up[i] == u) for u in set(up))
+    assert 50 < len(least) < 250
+    compared, plain = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda pairs, *others: compared.append(pairs.count()) or plain(pairs, *others))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(table).collect()) == least
+    assert sum(compared) <= 4 * len(texts), compared
+
+
 def test_thresholds_are_the_cheapest():
     costs = [[0, 5, 9, 30, 99, 99], [0, 2, 8, 40, 99, 99], [0, 7, 11, 12, 99, 99]]
     cost, chosen = simhash.allocate(costs, 2)
