@@ -8,11 +8,15 @@ proposes are compared as whole sets, and those that are similar are the first li
 Sets of that similarity may differ in more bits than any search can bridge (at 0.8, ten of 64 on average), so the
 remaining pairs come from an index that misses none: all shingles get one order, the rare ones first, and sets of n
 shingles that are so similar share one of their first n // 5 + 1 in that order.  How rare a
-shingle is comes from a sample of texts, which changes the time only.  Shingles whose texts are all in one
+shingle is comes from a sample of texts, which changes the time only.  A sample does not know what a growing number of texts
+shares, such as quoted passages, so the first shingles of all texts are counted: those of more than MANY texts go behind the others,
+by their counts, and texts that had one among their first ones get these anew (:func:`refilled`).  The prefixes of all other texts stay
+what they are in the new order, as what is moved only moves back.  Shingles whose texts are all in one
 group already are left out, and so are texts under a shingle that no text of another group there can be similar to,
 by their sizes and the shingle's places in both.  Rounds compare all texts under a shingle with one of
 them and join those that are similar, so a large group of near copies costs about its members and not
-their pairs; then all remaining pairs of texts that are in different groups are compared.  The one text is that with the fewest shingles
+their pairs; then all remaining pairs of texts that are in different groups are compared, which are made where two texts first
+meet and not under all shingles they share.  The one text is that with the fewest shingles
 before the shared one: copies have words of their own, which are rare and come first, so it is the text they were made from,
 or the nearest to it; every other round takes any text.  Connected
 components of the links are the groups.
@@ -46,10 +50,14 @@ from docloom.llm.components import components, contracted, neighbours
 SHINGLE, SEED = 5, 42
 #: Texts of the sample, and the shingles that are taken from it as common ones.
 SAMPLE, COMMON = 20_000, 100_000
+#: Texts that have a shingle among their first ones, beyond which it goes behind rarer ones.
+MANY = 8
 #: Rounds with one text a shingle at most, and the pairs a text that are left without another round.
 ROUNDS, PAIRS_A_ROW = 4, 4
 #: Rounds of the components' stars between two such rounds; groups that are found in part there leave pairs to compare, but lose none.
 STARS = 2
+#: Shingles before one by which two texts tell that they have met before.
+BEFORE = 8
 #: Texts that are compared with one text by one task; rows of ids (24 bytes each) that may be broadcast.
 A_PART, BROADCAST_ROWS = 256, 1_000_000
 
@@ -95,13 +103,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of shingles that come again in the sample, and how often."""
+    """Hashes, sorted, of shingles that come again in the sample, and in how many texts they are by that."""
     texts = docs.select(F.lit(0).cast("long").alias("row"), "text")
     parts = max(1, docs.count() // SAMPLE)
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).mapInArrow(_sets, "row bigint, hashes array<bigint>")
     counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     pairs = sorted((r["h"], r["count"]) for r in counts)
-    return np.array([h for h, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int64)
+    return np.array([h for h, _ in pairs], np.int64), parts * np.array([c for _, c in pairs], np.int64)
+
+
+def _often(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of the hashes found by a sorted list of common ones; 0 for others."""
+    if not len(common):
+        return np.zeros(len(found), np.int64)
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return np.where(common[at] == found, counts[at], 0)
+
+
+def _first(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Of a set, so many of the rarest shingles that similar sets have one of them in common."""
+    return found[np.lexsort((found, often))][: len(found) // 5 + 1]
 
 
 def _prefixes(common: np.ndarray, counts: np.ndarray):
@@ -115,11 +136,7 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
                 sketches.append(sketch(found))
-                often = np.zeros(len(found), np.int64)
-                if len(common) and len(found):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    often = np.where(common[at] == found, counts[at], 0)
-                prefixes.append(found[np.lexsort((found, often))][: len(found) // 5 + 1])
+                prefixes.append(_first(found, _often(found, common, counts)))
             kept = [c for c in batch.schema.names if c != "_text"]
             fps = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
             columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps), pa.array(sketches, pa.binary())]
@@ -128,6 +145,25 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
     return run
 
 
+def _refilled(common: np.ndarray, counts: np.ndarray):
+    """Rows (row, text, heavy), heavy the text's shingles h that more than MANY texts have among their first n: row, size, prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, prefixes = [], []
+            for text, heavy in zip(batch.column("text"), batch.column("heavy")):
+                found = shingles(text.as_py())
+                h, n = (heavy.values.field(k).to_numpy() for k in ("h", "n"))
+                by_hash = np.argsort(h)
+                # a fifth of a text's shingles are its first ones
+                often = np.maximum(_often(found, common, counts), 5 * _often(found, h[by_hash], n[by_hash]))
+                sizes.append(len(found))
+                prefixes.append(_first(found, often))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["row", "size", "prefix"])
+
+    return run
+
+
 def _possible(a: str, b: str) -> str:
     """Whether sets that first share a shingle at these places can be similar enough."""
     return f"9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size)"
@@ -189,6 +225,22 @@ def proposed(sets: DataFrame, max_bits: int) -> DataFrame:
     return materialize(equal.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "proposed")
 
 
+def refilled(sets: DataFrame, texts: DataFrame, tree: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """row, size and prefix of all sets, by an order in which shingles of more than MANY texts' prefixes, of several groups, come later."""
+    roots = neighbours(tree).withColumnRenamed("node", "row")
+    named = sets.select("row", "prefix").join(_few(materialize(roots, "roots")), "row", "left")
+    firsts = named.select(F.coalesce("root", "row").alias("root"), F.explode("prefix").alias("h"))
+    held = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    heavy = _few(materialize(held.where((F.col("n") > MANY) & (F.col("r0") < F.col("r1"))).select("h", "n"), "heavy"))
+    having = sets.select("row", F.explode("prefix").alias("h")).join(heavy, "h", "left_semi")
+    again = _few(materialize(having.select("row").distinct(), "again"))
+    asked = texts.join(again, "row", "left_semi")
+    every = asked.mapInArrow(_sets, "row bigint, hashes array<bigint>").select("row", F.explode("hashes").alias("h"))
+    known = every.join(heavy, "h").groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("heavy"))
+    new = asked.join(known, "row").select("row", "text", "heavy").mapInArrow(_refilled(common, counts), "row bigint, size bigint, prefix array<bigint>")
+    return sets.select("row", "size", "prefix").join(again, "row", "left_anti").unionByName(new)
+
+
 def _open(index: DataFrame) -> DataFrame:
     """The index less shingles whose texts are of one root, and less texts that can be similar to none under their shingle (see _possible)."""
     spare = F.expr("5 * size - 9 * pos")
@@ -206,13 +258,24 @@ def _grouped(index: DataFrame, tree: DataFrame) -> DataFrame:
     return found
 
 
-def links(sets: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
-    """Links (a, b) whose components are those of all similar pairs; sets has row, size, prefix, fp, sketch, texts has row, text."""
+def _meeting(index: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of texts of different groups that can be similar by an open index, most of them once.
+
+    Where they have a shingle in common among the last BEFORE ones of both they have met before, and were possible there as they had more left.
+    """
+    last = Window.partitionBy("row").orderBy("pos").rowsBetween(-BEFORE, -1)
+    placed = materialize(index.withColumn("last", F.collect_list("h").over(last)), "placed")
+    met = placed.alias("o").join(placed.alias("m"), "h").where("o.row < m.row AND o.root <> m.root").where(_possible("o", "m")).where("NOT arrays_overlap(o.last, m.last)")
+    return met.select(F.col("o.row").alias("a"), F.col("m.row").alias("b"))
+
+
+def links(sets: DataFrame, texts: DataFrame, max_bits: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs; sets has row, size, prefix, fp, sketch, texts has row, text; prefixes are by common and counts."""
     sketches = materialize(sets.select("row", "size", "sketch"), "sketches")
     tried = proposed(sets.select("row", "fp"), max_bits)
     tree = contracted(_similar(tried, sketches, texts), STARS)
     # a shingle that two texts have leads on; one row holds a text's place and size in eight bytes
-    rows = sets.select("row", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "row", F.expr("shiftleft(size, 32) | pos").alias("at"))
+    rows = refilled(sets, texts, tree, common, counts).select("row", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "row", F.expr("shiftleft(size, 32) | pos").alias("at"))
     met = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
     index = materialize(met.select("h", "row", F.expr("shiftright(at, 32)").alias("size"), F.expr("cast(at & 4294967295 as int)").alias("pos")), "index")
     enough, before = PAIRS_A_ROW * sketches.count(), []
@@ -238,8 +301,7 @@ def links(sets: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
         then = contracted(tree.unionByName(_similar(pairs, sketches, texts)), STARS)
         drop_scratch(tree)
         tree = then
-    pairs = now.alias("o").join(now.alias("m"), "h").where("o.row < m.row AND o.root <> m.root").where(_possible("o", "m"))
-    pairs = pairs.select(F.col("o.row").alias("a"), F.col("m.row").alias("b")).distinct()
+    pairs = _meeting(now).distinct()
     pairs = pairs.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     return tree.unionByName(_similar(materialize(pairs, "pairs"), sketches, texts))
 
@@ -248,12 +310,13 @@ def drop_similar(docs: DataFrame, max_bits: int) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns."""
     held = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["text"].alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_text")
-    rows = materialize(held.mapInArrow(_prefixes(*common_shingles(docs)), f"{kept}, digest binary, size bigint, prefix array<bigint>, fp bigint, sketch binary"), "prefixes")
+    sampled = common_shingles(docs)
+    rows = materialize(held.mapInArrow(_prefixes(*sampled), f"{kept}, digest binary, size bigint, prefix array<bigint>, fp bigint, sketch binary"), "prefixes")
     order = F.struct(F.col("_doc.doc_id").isNull().alias("no_id"), F.col("_doc.doc_id").alias("id"), F.col("row").alias("row"))
     first = materialize(rows.groupBy("digest").agg(F.min(order).alias("first")).select("first", F.col("first.row").alias("row")), "distinct")
     sets = rows.select("row", "size", "prefix", "fp", "sketch").join(first.select("row"), "row", "left_semi")
     texts = rows.select("row", F.col("_doc.text").alias("text"))
-    roots = components(links(sets, texts, max_bits)).withColumnRenamed("node", "row")
+    roots = components(links(sets, texts, max_bits, *sampled)).withColumnRenamed("node", "row")
     named = first.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     gone = materialize(rows.select("row").join(chosen, "row", "left_anti"), "gone")

@@ -593,6 +593,51 @@ def test_a_large_group_costs_its_members_not_its_pairs(spark, monkeypatch):
     assert sum(compared) <= 4 * len(texts), compared
 
 
+def test_passages_that_many_texts_share_cost_no_pairs(spark, monkeypatch):
+    from docloom.llm import similar
+
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(2)]
+    texts = [" ".join(f"w{k}x{i}" for i in range(50 + k % 7)) + " " + passages[k % 2] for k in range(120)]
+    texts += [t.rsplit(" ", n)[0] for t in texts[:30] for n in (2, 9)]  # near copies that lose a part of the passage
+    texts += [p + f" own{k} words{k}" for p in passages for k in range(15)]  # hardly more than the passage: similar to each other
+    for t in texts[30:60]:  # about the bound, on both sides
+        copy = t.split()
+        for at in rng.sample(range(len(copy)), rng.randint(1, 4)):
+            copy[at] = "changed"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets, up = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = up[i], up[j]
+                up = [new if x == old else x for x in up]
+    least = sorted(min(i for i in range(len(up)) if up[i] == u) for u in set(up))
+    assert 122 <= len(least) < len(texts) - 60
+    compared, plain = [], similar._similar
+    monkeypatch.setattr(similar, "COMMON", 1)  # as with many texts, the sample's list does not reach to the passages
+    monkeypatch.setattr(similar, "_similar", lambda pairs, *others: compared.append(pairs.count()) or plain(pairs, *others))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(table).collect()) == least
+    assert sum(compared) <= 4 * len(texts), compared
+
+
+def test_texts_meet_at_the_first_shingle_they_share(spark):
+    from docloom.llm import similar
+
+    rng = random.Random(9)
+    texts = [list(range(40)) for _ in range(6)] + [sorted(rng.sample(range(100, 190), rng.randint(20, 60))) for _ in range(60)]
+    index = [(h, row, 110, pos, row) for row, text in enumerate(texts) for pos, h in enumerate(text)]
+    under: dict = {}
+    for h, row, size, pos, _ in index:
+        under.setdefault(h, []).append((row, size - pos))
+    expected = {(a, b) for held in under.values() for a, x in held for b, y in held if a < b and 9 * min(x, y) >= 4 * 220}
+    met = [(r["a"], r["b"]) for r in similar._meeting(spark.createDataFrame(index, "h long, row long, size long, pos int, root long")).collect()]
+    assert set(met) == expected and len(met) < 1.5 * len(expected)
+    assert sum(b < 6 for _, b in met) == 15  # copies that share all meet once
+
+
 def test_thresholds_are_the_cheapest():
     costs = [[0, 5, 9, 30, 99, 99], [0, 2, 8, 40, 99, 99], [0, 7, 11, 12, 99, 99]]
     cost, chosen = simhash.allocate(costs, 2)
